@@ -77,7 +77,7 @@ def unit_price_avg(
         kept_lines.join(kept_headers, "vbeln")
         .join(eligible, ["matnr", "dc"])
         .groupBy(zero_trim("matnr").alias("item"), "dc")
-        .agg(F.avg("netpr").alias("unit_price"))
+        .agg((exact_sum("netpr") / F.count("netpr")).alias("unit_price"))
     )
 
 
@@ -93,7 +93,7 @@ def unit_price_ratio(
     return (
         recent.join(sku.select("sku_id", "usn"), "sku_id", "left")
         .groupBy("sku_id", "usn", "shipping_warehouse_id")
-        .agg(div0(F.sum("net_amt"), F.sum("shipped_qty")).alias("unit_price"))
+        .agg(div0(exact_sum("net_amt"), exact_sum("shipped_qty")).alias("unit_price"))
     )
 
 
@@ -173,8 +173,8 @@ def instock_8w(
         .join(snapshots, "fiscal_week_id")
         .groupBy(key, "warehouse_number")
         .agg(
-            F.sum("numerator").alias("instock_numerator"),
-            F.sum("denominator").alias("instock_denominator"),
+            exact_sum("numerator").alias("instock_numerator"),
+            exact_sum("denominator").alias("instock_denominator"),
         )
         .withColumn("instock_rate", div0("instock_numerator", "instock_denominator"))
     )

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierflow.functions import div0null
 from tierflow.operators import audit, classify, dims, impact, output, stock, universe
 from tierflow.plans import driver_tables, policy, runs
 from tierflow.plans.driver_tables import (
@@ -42,16 +43,6 @@ def register(name: str, sql: str | None) -> Callable[[Query], Query]:
     return keep
 
 
-def _six(df: DataFrame, *columns: str) -> DataFrame:
-    """Unrounded quotients to six places, as the checking SQL has them."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
-def _sql_six(source: str, *columns: str) -> str:
-    rounded = ", ".join(f"round({c}, 6) as {c}" for c in columns)
-    return f"select * replace ({rounded}) from {source}"
-
-
 # ---- derived tables -----------------------------------------------------------------------------
 
 _written: dict[tuple[str, str, str], str] = {}
@@ -135,19 +126,19 @@ def _(spark, sf_dir):
     return dims.vendor_team(material_tables(spark, sf_dir)["vendor_team"])
 
 
-@register("unit_price_avg", _sql_six("o_unit_price_avg", "unit_price"))
+@register("unit_price_avg", "select * from o_unit_price_avg")
 def _(spark, sf_dir):
     t = material_tables(spark, sf_dir)
     df = dims.unit_price_avg(
         t["order_lines"], t["order_headers"], t["catalogue"], t["plant_ext"], "N1", AS_OF
     )
-    return _six(df, "unit_price")
+    return df
 
 
-@register("unit_price_ratio", _sql_six("o_unit_price_ratio", "unit_price"))
+@register("unit_price_ratio", "select * from o_unit_price_ratio")
 def _(spark, sf_dir):
     t = usn_tables(spark, sf_dir)
-    return _six(dims.unit_price_ratio(t["sales"], t["sku"], AS_OF), "unit_price")
+    return dims.unit_price_ratio(t["sales"], t["sku"], AS_OF)
 
 
 @register("category_alignment", "select * from o_category_alignment")
@@ -166,18 +157,18 @@ def _(spark, sf_dir):
     return dims.item_location(t["extract"], t["item_master"], t["supersession"])
 
 
-@register("instock_by_item", _sql_six("o_instock", "instock_rate"))
+@register("instock_by_item", "select * from o_instock")
 def _(spark, sf_dir):
     t = material_tables(spark, sf_dir)
     df = dims.instock_8w(t["instock_weekly"], t["calendar"], "N1", "item", AS_OF)
-    return _six(df, "instock_rate")
+    return df
 
 
-@register("instock_by_sku", _sql_six("o_instock_usn", "instock_rate"))
+@register("instock_by_sku", "select * from o_instock_usn")
 def _(spark, sf_dir):
     t = usn_tables(spark, sf_dir)
     df = dims.instock_8w(t["instock_weekly"], t["calendar"], "N2", "sku_id", AS_OF)
-    return _six(df, "instock_rate")
+    return df
 
 
 @register("forecast_window", "select * from o_forecast")
@@ -238,25 +229,24 @@ def _(spark, sf_dir):
 
 # ---- universe and flags -------------------------------------------------------------------------
 
-_RATES = ("retail_price", "instock_rate")
 
 
 def _universe_query(which: str, build):
     tables, net, _ = _RUNS[which]
 
     def query(spark, sf_dir):
-        return _six(build(tables(spark, sf_dir), PARAMS, net), *_RATES)
+        return build(tables(spark, sf_dir), PARAMS, net)
 
     return query
 
 
-register("universe_material_no_receipt", _sql_six("o_universe_before", *_RATES))(
+register("universe_material_no_receipt", "select * from o_universe_before")(
     _universe_query("before", universe.universe_material)
 )
-register("universe_material", _sql_six("o_universe_after", *_RATES))(
+register("universe_material", "select * from o_universe_after")(
     _universe_query("after", universe.universe_material)
 )
-register("universe_usn", _sql_six("o_universe_usn", *_RATES))(
+register("universe_usn", "select * from o_universe_usn")(
     _universe_query("usn", universe.universe_usn)
 )
 
@@ -413,8 +403,7 @@ def _(spark, sf_dir):
 
 @register(
     "instock_rate",
-    """select dc, item, round(case when den is null or den = 0 then 0 else num / den end, 6)
-        as instock_rate
+    """select dc, item, case when den is null or den = 0 then 0 else num / den end as instock_rate
        from (select q.dc, q.item, sum(case when w.l_linestatus = 'O'
                 and w.l_returnflag <> 'R' then w.qty end) as num,
                 sum(case when w.l_linestatus = 'O' then w.qty end) as den
@@ -428,37 +417,36 @@ def _(spark, sf_dir):
         F.sum(open_qty).alias("den"),
     )
     return sums.select(
-        "dc", "item", F.round(universe.div0null("num", "den"), 6).alias("instock_rate")
+        "dc", "item", div0null("num", "den").alias("instock_rate")
     )
 
 
 # ---- tiering ------------------------------------------------------------------------------------
 
-_WEEKLY = ("retail_price", "instock_rate", "weekly_average_forecasted_qty")
 
 
-@register("attach_forecast", _sql_six("o_base_after", *_RATES))
+@register("attach_forecast", "select * from o_base_after")
 def _(spark, sf_dir):
     t = material_tables(spark, sf_dir)
-    return _six(runs.active_universe(t, PARAMS, MATERIAL, "material"), *_RATES)
+    return runs.active_universe(t, PARAMS, MATERIAL, "material")
 
 
-@register("attach_forecast_usn", _sql_six("o_base_usn", *_RATES))
+@register("attach_forecast_usn", "select * from o_base_usn")
 def _(spark, sf_dir):
     t = usn_tables(spark, sf_dir)
-    return _six(runs.active_universe(t, PARAMS, USN, "usn"), *_RATES)
+    return runs.active_universe(t, PARAMS, USN, "usn")
 
 
-@register("weekly_metrics", _sql_six("o_weekly_after", *_WEEKLY))
+@register("weekly_metrics", "select * from o_weekly_after")
 def _(spark, sf_dir):
-    return _six(classify.weekly_metrics(base_of(spark, sf_dir, "after")), *_WEEKLY)
+    return classify.weekly_metrics(base_of(spark, sf_dir, "after"))
 
 
-@register("velocity_weight", _sql_six("o_weight_after", *_WEEKLY, "velocity_weight"))
+@register("velocity_weight", "select * from o_weight_after")
 def _(spark, sf_dir):
     rows = base_of(spark, sf_dir, "after").filter(classify.is_ranked())
     weighted = classify.velocity_weight(classify.weekly_metrics(rows))
-    return _six(weighted, *_WEEKLY, "velocity_weight")
+    return weighted
 
 
 @register(
@@ -474,7 +462,7 @@ def _(spark, sf_dir):
 
 @register(
     "tier_percentile",
-    """select dc, mcat, item, round(velocity_weight, 6) as velocity_weight,
+    """select dc, mcat, item, velocity_weight,
         calculated_velocity_percentile from o_percentile_after""",
 )
 def _(spark, sf_dir):
@@ -484,7 +472,7 @@ def _(spark, sf_dir):
         "dc",
         "mcat",
         "item",
-        F.round("velocity_weight", 6).alias("velocity_weight"),
+        "velocity_weight",
         "calculated_velocity_percentile",
     )
 
@@ -503,26 +491,26 @@ def _(spark, sf_dir):
     return classify.tier_percentile(rows, ("l_returnflag", "l_linestatus"), "qty")
 
 
-@register("ranked_tiers", _sql_six("o_ranked_after", *_WEEKLY, "velocity_weight"))
+@register("ranked_tiers", "select * from o_ranked_after")
 def _(spark, sf_dir):
     ranked = classify.ranked_tiers(base_of(spark, sf_dir, "after"), PARAMS)
-    return _six(ranked, *_WEEKLY, "velocity_weight")
+    return ranked
 
 
-@register("forced_c", _sql_six("o_forced_after", *_WEEKLY))
+@register("forced_c", "select * from o_forced_after")
 def _(spark, sf_dir):
-    return _six(classify.forced_c(base_of(spark, sf_dir, "after"), PARAMS), *_WEEKLY)
+    return classify.forced_c(base_of(spark, sf_dir, "after"), PARAMS)
 
 
-@register("unforecast_tier", _sql_six("o_unforecast_after", *_WEEKLY))
+@register("unforecast_tier", "select * from o_unforecast_after")
 def _(spark, sf_dir):
-    return _six(classify.unforecast_tier(base_of(spark, sf_dir, "after"), PARAMS), *_WEEKLY)
+    return classify.unforecast_tier(base_of(spark, sf_dir, "after"), PARAMS)
 
 
-@register("classify", _sql_six("o_classified_after", *_WEEKLY, "velocity_weight"))
+@register("classify", "select * from o_classified_after")
 def _(spark, sf_dir):
     tiers = classify.classify(base_of(spark, sf_dir, "after"), PARAMS)
-    return _six(tiers, *_WEEKLY, "velocity_weight")
+    return tiers
 
 
 def _covered(spark, sf_dir) -> DataFrame:
@@ -531,20 +519,16 @@ def _covered(spark, sf_dir) -> DataFrame:
     return stock.sscov(tiers, items, MATERIAL.high_cube_categories)
 
 
-@register("coverage_weeks", _sql_six("o_sscov_after", *_WEEKLY, "velocity_weight"))
+@register("coverage_weeks", "select * from o_sscov_after")
 def _(spark, sf_dir):
-    return _six(_covered(spark, sf_dir), *_WEEKLY, "velocity_weight")
+    return _covered(spark, sf_dir)
 
 
-@register("safety_stock", _sql_six("o_stock_after", *_WEEKLY, "velocity_weight"))
+@register("safety_stock", "select * from o_stock_after")
 def _(spark, sf_dir):
     t = material_tables(spark, sf_dir)
     orders = dims.soq_first_weeks(t["soq"], PARAMS.fiscal_year)
-    return _six(
-        stock.safety_stock(_covered(spark, sf_dir), t["plant"], orders),
-        *_WEEKLY,
-        "velocity_weight",
-    )
+    return stock.safety_stock(_covered(spark, sf_dir), t["plant"], orders)
 
 
 @register(
@@ -602,12 +586,11 @@ def _(spark, sf_dir):
     )
 
 
-_ANALYSIS = ("weekly_average_forecasted_qty", "velocity_weight", "sku_retail_price")
 
 
 def _analysis_query(which: str):
     def query(spark, sf_dir):
-        return _six(run_of(spark, sf_dir, which), *_ANALYSIS)
+        return run_of(spark, sf_dir, which)
 
     return query
 
@@ -617,7 +600,7 @@ for _which, _name in {
     "after": "analysis_material",
     "usn": "analysis_usn",
 }.items():
-    register(_name, _sql_six(f"o_analysis_{_which}", *_ANALYSIS))(_analysis_query(_which))
+    register(_name, f"select * from o_analysis_{_which}")(_analysis_query(_which))
 
 
 @register("changes_material", "select * from o_changes_after")
@@ -957,7 +940,7 @@ def _(spark, sf_dir):
 
 @register("transition_detail", "select * from o_detail")
 def _(spark, sf_dir):
-    return _six(detail_of(spark, sf_dir), "NEW_VELOCITY_WEIGHT", "WEEKLY_AVG_FCST_QTY_NEW")
+    return detail_of(spark, sf_dir)
 
 
 @register(
