@@ -191,37 +191,39 @@ def ranked_tiers(df: DataFrame, params: TierParams) -> DataFrame:
 
 
 def _unranked(df: DataFrame, params: TierParams) -> DataFrame:
+    """Rows outside the ranking: C when new, E when neither new nor forecasted."""
+    new, old = F.col("sku_status") == "New", F.col("sku_status") == "Not New"
+    unforecasted = F.col("is_forecasted") == "Not Forecasted"
     return weekly_metrics(df, params.forecast_weeks).withColumns(
         {
             "velocity_weight": F.lit(None).cast("double"),
             "calculated_velocity_percentile": F.lit(None).cast("double"),
+            "new_proposed_velocity": F.when(new, "C").when(unforecasted & old, "E"),
         }
     )
 
 
 def forced_c(df: DataFrame, params: TierParams) -> DataFrame:
     """Group 2: forecasted, new and not superseded rows go to C unranked."""
-    rows = df.filter(
-        (F.col("is_forecasted") == "Forecasted")
-        & (F.col("sku_status") == "New")
-        & (F.col("superseded_sku") == "not superseded")
+    return _unranked(
+        df.filter(
+            (F.col("is_forecasted") == "Forecasted")
+            & (F.col("sku_status") == "New")
+            & (F.col("superseded_sku") == "not superseded")
+        ),
+        params,
     )
-    return _unranked(rows, params).withColumn("new_proposed_velocity", F.lit("C"))
 
 
 def unforecast_tier(df: DataFrame, params: TierParams) -> DataFrame:
     """Group 3: rows without a forecast are C when new and E when not."""
-    rows = df.filter(F.col("is_forecasted") == "Not Forecasted")
-    status = F.col("sku_status")
-    return _unranked(rows, params).withColumn(
-        "new_proposed_velocity", F.when(status == "New", "C").when(status == "Not New", "E")
-    )
+    return _unranked(df.filter(F.col("is_forecasted") == "Not Forecasted"), params)
 
 
 def classify(df: DataFrame, params: TierParams) -> DataFrame:
-    """All three groups. Only the ranked rows take part in the ranking shuffle."""
-    return (
-        ranked_tiers(df, params)
-        .unionByName(forced_c(df, params))
-        .unionByName(unforecast_tier(df, params))
-    )
+    """All three groups. Only the ranked rows take part in the ranking shuffle.
+
+    The flags are never null, so groups 2 and 3 together are the rows that are
+    not ranked, and one pass gives both their tiers.
+    """
+    return ranked_tiers(df, params).unionByName(_unranked(df.filter(~is_ranked()), params))

@@ -131,7 +131,8 @@ def universe_material(
     their distinct dates before they are joined, for nothing else of them is
     read. Joins on the item come first, then those on (item, dc), whose shuffle
     the final distinct shares. ``active_only`` applies the active and policy
-    conditions on the catalogue scan.
+    conditions on the catalogue scan; the forecast attach, which follows it, makes
+    the rows distinct, so it is not done here as well.
     """
     t = tables
     catalogue = t["catalogue"]
@@ -219,7 +220,7 @@ def universe_material(
         "receipt_date", receipt_date(net.status_mode, "own_receipt_date", "cross_receipt_date")
     )
     no_text = F.lit(None).cast("string")
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "network": F.lit(net.network),
             "location": F.col("dc"),
@@ -238,7 +239,8 @@ def universe_material(
             "is_vmi": is_vmi(),
             "first_receipt_flg": first_receipt_flag("receipt_date"),
         }
-    ).select(*UNIVERSE_COLUMNS).distinct()
+    ).select(*UNIVERSE_COLUMNS)
+    return rows if active_only else rows.distinct()
 
 
 def _status(params: TierParams, net: NetworkPolicy) -> Column:
@@ -254,7 +256,10 @@ def universe_usn(
     net: NetworkPolicy,
     active_only: bool = False,
 ) -> DataFrame:
-    """Distinct assortment rows of the network with status, cost, price, stock and tier."""
+    """Distinct assortment rows of the network with status, cost, price, stock and tier.
+
+    ``active_only`` is as in the material network.
+    """
     t = tables
     # the day must be on the calendar; any number of its rows gives the same universe
     today = (
@@ -329,7 +334,7 @@ def universe_usn(
         .join(items, ["usn", "location"], "left")
     )
     no_text = F.lit(None).cast("string")
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "network": F.lit(net.network),
             "dc": F.col("warehouse_number"),
@@ -351,7 +356,8 @@ def universe_usn(
             "is_filtered_out": is_filtered_out(usn_kept(net)),
             "first_receipt_flg": first_receipt_flag("receipt_date"),
         }
-    ).select(*UNIVERSE_COLUMNS).distinct()
+    ).select(*UNIVERSE_COLUMNS)
+    return rows if active_only else rows.distinct()
 
 
 # ---- lookups that no result column comes from ------------------------------------------------

@@ -14,7 +14,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from tierflow.plans.params import TierParams, material_network, usn_network
-from tierflow.sources.registry import Tables
+from tierflow.sources.registry import Tables, written_once
 
 AS_OF = dt.date(2000, 1, 3)
 PARAMS = TierParams(as_of=AS_OF, fiscal_year="FY2000")
@@ -292,13 +292,21 @@ def references(text: str) -> list[str]:
 def driver_tables(
     spark: SparkSession, sf_dir: str, names: dict[str, str] | None = None
 ) -> Tables:
-    """Tables of one network by logical name; ``names`` maps to another text."""
+    """Tables of one network by logical name; ``names`` maps to another text.
 
-    def derived(name: str) -> DataFrame:
-        return spark.sql(SQL[name], **{r: frames[r] for r in references(SQL[name])})
+    The engine reads stored tables, so each text is written once per session and
+    folder, when a query first asks for it. Scans of it then prune columns and
+    take filters, and its size is known to the planner.
+    """
+
+    def stored(name: str) -> DataFrame:
+        def build() -> DataFrame:
+            return spark.sql(SQL[name], **{r: frames[r] for r in references(SQL[name])})
+
+        return written_once(spark, f"{sf_dir}/{name}", name.replace("_", "-"), build)
 
     sources = {name: {"path": f"{sf_dir}/{name}.parquet"} for name in BASE}
-    frames = Tables(spark, sources | {name: partial(derived, name) for name in SQL})
+    frames = Tables(spark, sources | {name: partial(stored, name) for name in SQL})
     if not names:
         return frames
     renamed = {

@@ -45,17 +45,9 @@ def register(name: str, sql: str | None) -> Callable[[Query], Query]:
 
 # ---- derived tables -----------------------------------------------------------------------------
 
-_written: dict[tuple[str, str, str], str] = {}
-
-
 def _derived(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The frame, written on first use of this session and folder and read from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
-        path = registry.scratch_path(spark, name)
-        sinks.write_table(build(), name, path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+    return registry.written_once(spark, f"{sf_dir}/{name}", name, build)
 
 
 _RUNS = {

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Source = str | Mapping[str, Any] | DataFrame | Callable[[], DataFrame]
 
@@ -64,8 +65,9 @@ def read_source(spark: SparkSession, source: Source) -> DataFrame:
 
 
 def staging_dir(spark: SparkSession) -> str | None:
-    """Shared folder that the cluster names for cut lineage, or None."""
+    """Shared folder that the session names for cut lineage, or None."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/") if folder else None
 
 
@@ -75,18 +77,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def write_scratch(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to a fresh path and read back, by column and without its lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a written table in the shared folder, when the cluster names one.
+    """The frame as a written table in the shared folder, when the session names one.
 
-    A frame with several readers is then computed once, survives lost executors,
-    and is read by column. Without the folder the plan stays lazy.
+    A frame with several readers is then computed once and survives lost
+    executors. Without the folder the plan stays lazy.
     """
-    spark = df.sparkSession
-    if staging_dir(spark) is None:
-        return df
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df if staging_dir(df.sparkSession) is None else write_scratch(df, name)
+
+
+_written: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def written_once(
+    spark: SparkSession, key: str, name: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """The frame, written on first use of this key in this application and read from then on."""
+    full_key = (spark.sparkContext.applicationId, key)
+    if full_key not in _written:
+        df = build()
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        _written[full_key] = path, df.schema
+    path, schema = _written[full_key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def profile(df: DataFrame) -> DataFrame:
