@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierflow.operators.joins import lookup_join
 from tierflow.plans import policy
 from tierflow.plans.params import TierParams
 
@@ -45,22 +46,25 @@ def attach_forecast(
     """Active, kept rows of the universe with their forecast quantity, distinct.
 
     ``plant`` gives the location of rows that have none of their own; leave it
-    out where the universe always has one.
+    out where the universe always has a location and an item. The join then needs
+    no care for null keys, and the distinct shares its shuffle.
     """
     rows = universe.filter(F.col("is_active") & ~F.col("is_filtered_out"))
-    if plant is not None:
+    matched = forecast.select(
+        "location", "item", "total_forecasted_qty", F.lit(True).alias("has_forecast")
+    )
+    if plant is None:
+        rows = rows.join(matched, ["location", "item"], "left")
+    else:
         fallback = plant.select(
             F.col("plant_id").alias("dc"), F.col("network_plant_id").alias("plant_location")
         )
         rows = rows.join(fallback, "dc", "left").withColumn(
             "location", F.coalesce("location", "plant_location")
         )
-    matched = forecast.select(
-        "location", "item", "total_forecasted_qty", F.lit(True).alias("has_forecast")
-    )
+        rows = lookup_join(rows, [matched], ("location", "item"))
     return (
-        rows.join(matched, ["location", "item"], "left")
-        .withColumn(
+        rows.withColumn(
             "is_forecasted",
             F.when(F.col("has_forecast"), "Forecasted").otherwise("Not Forecasted"),
         )

@@ -54,7 +54,11 @@ def unit_price_avg(
     as_of: dt.date,
     days: int = 730,
 ) -> DataFrame:
-    """Average order price by (item, dc) over the recent, deliverable order lines."""
+    """Average order price by (item, dc) over the recent, deliverable order lines.
+
+    Lines are summed by material and dc before they meet the catalogue, so that a
+    busy material is one row there; repeated catalogue rows weigh sum and count alike.
+    """
     live_plants = plants.filter(
         (F.col("business_id") == network) & F.col("dc_region_id").isNotNull()
     ).select(F.col("plant_id").alias("zzdef_werks"))
@@ -75,25 +79,34 @@ def unit_price_avg(
     )
     return (
         kept_lines.join(kept_headers, "vbeln")
+        .groupBy("matnr", "dc")
+        .agg(exact_sum("netpr").alias("amount"), F.count("netpr").alias("lines"))
         .join(eligible, ["matnr", "dc"])
         .groupBy(zero_trim("matnr").alias("item"), "dc")
-        .agg((exact_sum("netpr") / F.count("netpr")).alias("unit_price"))
+        .agg(
+            (exact_sum("amount") / F.nullif(F.sum("lines"), F.lit(0))).alias("unit_price")
+        )
     )
 
 
 def unit_price_ratio(
     sales: DataFrame, sku: DataFrame, as_of: dt.date, days: int = 1095
 ) -> DataFrame:
-    """Net amount over shipped quantity by (sku, usn, warehouse)."""
+    """Net amount over shipped quantity by (sku, usn, warehouse).
+
+    Sales are summed before the usn is looked up. A sku listed twice under one
+    usn would double both sums, so its ratio is that of one listing.
+    """
     recent = sales.filter(
         (F.col("sku_id") != 0)
         & (F.col("shipping_warehouse_id") != 0)
         & (F.col("create_date") >= F.date_sub(F.lit(as_of), days))
     )
     return (
-        recent.join(sku.select("sku_id", "usn"), "sku_id", "left")
-        .groupBy("sku_id", "usn", "shipping_warehouse_id")
+        recent.groupBy("sku_id", "shipping_warehouse_id")
         .agg(div0(exact_sum("net_amt"), exact_sum("shipped_qty")).alias("unit_price"))
+        .join(sku.select("sku_id", "usn").distinct(), "sku_id", "left")
+        .select("sku_id", "usn", "shipping_warehouse_id", "unit_price")
     )
 
 

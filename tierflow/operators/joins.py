@@ -1,4 +1,4 @@
-"""Full outer join with a presence column, in parts that can be split under skew."""
+"""Joins that hold up when one key, or no key at all, has a great share of the rows."""
 
 from __future__ import annotations
 
@@ -40,3 +40,20 @@ def presence_join(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> Data
         .unionByName(shaped(only_old, OLD_ONLY))
         .unionByName(shaped(only_new, NEW_ONLY))
     )
+
+
+def lookup_join(df: DataFrame, lookups: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    """Left join on the keys to each lookup in turn, with rows of a null key spread out.
+
+    Such rows match nothing, yet a left join gathers them all in one task. An
+    extra key, 0 on every row that can match, scatters them by their other values.
+    """
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    spread = F.when(keyless, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).otherwise(F.lit(0).cast("long"))
+    rows = df.withColumn("null_spread", spread)
+    for lookup in lookups:
+        right = lookup.withColumn("null_spread", F.lit(0).cast("long"))
+        rows = rows.join(right, [*keys, "null_spread"], "left")
+    return rows.drop("null_spread")

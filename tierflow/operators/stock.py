@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.operators.dims import high_cube, import_flag
+from tierflow.operators.joins import lookup_join
 from tierflow.plans import policy
 
 
@@ -32,8 +33,7 @@ def sscov(
     flags = import_flag(item_master)
     bulky = high_cube(item_master, categories).select("item", "pcat", "high_cube_flg")
     return (
-        df.join(flags, "item", "left")
-        .join(bulky, "item", "left")
+        lookup_join(df, [flags, bulky], ("item",))
         .withColumn("cube", F.when(F.col("high_cube_flg") == "Y", "High").otherwise("Low"))
         .withColumns(
             {
@@ -55,9 +55,9 @@ def safety_stock(df: DataFrame, plant: DataFrame, projections: DataFrame) -> Dat
     )
     average = F.col("weekly_average_forecasted_qty")
     change = average * (F.col("proposed_sscov") - F.col("current_sscov"))
+    placed = df.join(locations, "dc", "left")
     return (
-        df.join(locations, "dc", "left")
-        .join(orders, ["soq_plant", "item"], "left")
+        lookup_join(placed, [orders], ("soq_plant", "item"))
         .withColumns(
             {
                 "current_total_soq_13_weeks": F.coalesce("soq_qty", F.lit(0.0)),

@@ -127,9 +127,9 @@ def universe_material(
 ) -> DataFrame:
     """Distinct catalogue rows of the network with status, cost, price, stock and tier.
 
-    Tables that only have to hold a key are semi-joined. Receipts are cut to
-    their distinct dates before they are joined, for nothing else of them is
-    read. Joins on the item come first, then those on (item, dc), whose shuffle
+    Tables that only have to hold a key are semi-joined. Copies of a catalogue
+    row go before the joins, and receipts are cut to their distinct dates, for
+    nothing else of them is read. Joins on the item come first, then those on (item, dc), whose shuffle
     the final distinct shares. ``active_only`` applies the active and policy
     conditions on the catalogue scan; the forecast attach, which follows it, makes
     the rows distinct, so it is not done here as well.
@@ -151,6 +151,7 @@ def universe_material(
         )
         .join(own_plants.select(F.col("network_plant_id").alias("dc")), "dc", "left_semi")
         .join(t["plant"].select(F.col("plant_id").alias("dc")), "dc", "left_semi")
+        .distinct()
     )
     units = t["item_master"].select(F.col("dmdunit").alias("item"), "uom")
     superseded = (
@@ -265,7 +266,12 @@ def universe_usn(
     today = (
         t["calendar"].filter(F.col("date_date") == F.lit(params.as_of)).select("date_date").limit(1)
     )
-    assortment = t["assortment"].withColumn("date_date", F.lit(params.as_of))
+    assortment = (
+        t["assortment"]
+        .select("warehouse_number", "usn", "item_description", "ipr_category")
+        .distinct()
+        .withColumn("date_date", F.lit(params.as_of))
+    )
     warehouses = (
         t["dim_warehouse"]
         .select(F.col("warehouse_num").alias("warehouse_number"), "warehouse_id")
