@@ -215,12 +215,13 @@ SQL = {
         select 'L' || cast(p_size as string) as material_level1_code,
                'L' || cast(p_size as string) as material_level2_code,
                'N1|0' || '2000' as mcat_id, 'N1|' || cast(p_size as string) as pcat_id,
-               case when p_size % 6 = 5 then null else p_type end as dmm,
-               case when p_size < 15 then p_name end as reporting_merchant,
-               case when p_size < 30 then p_brand end as sr_merchant,
+               case when p_size % 6 = 5 then null else 'D' || cast(p_size % 10 as string) end as dmm,
+               case when p_size < 15 then 'R' || cast(p_size as string) end as reporting_merchant,
+               case when p_size < 30 then 'S' || cast(p_size % 4 as string) end as sr_merchant,
                case when p_size > 45 then 'N2' else 'N1' end as source,
                p_size <> 7 as is_current
         from {part}""",
+    "category_codes": "select distinct * from {category_ref}",
     "customer_locations": """
         select cast(3000 + c_custkey as string) as loc,
                cast(c_nationkey as string) || ' - ' || c_name as descr
@@ -282,6 +283,7 @@ USN_NAMES = {
     "extract": "u_extract",
     "instock_weekly": "u_instock_weekly",
     "soq": "u_soq",
+    "category_ref": "category_codes",
 }
 
 
