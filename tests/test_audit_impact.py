@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tierflow.operators import audit, impact
-from tierflow.operators.joins import presence_join
+from tierflow.operators.joins import lookup_join, presence_join
 from tierflow.plans import policy, runs
 from tierflow.sources.uploads import as_upload
 
@@ -81,6 +81,16 @@ def test_presence_join_keeps_every_row(spark):
     ]
 
 
+def test_lookup_join_is_a_left_join(spark):
+    left = spark.createDataFrame(
+        [(1, "a", 1), (2, "a", 2), (None, "a", 3), (None, "a", 4), (1, None, 5)], "k int, m string, id int"
+    )
+    one = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (None, "a", "z")], "k int, m string, p string")
+    two = spark.createDataFrame([(2, "a", "q")], "k int, m string, q string")
+    plain = left.join(one, ["k", "m"], "left").join(two, ["k", "m"], "left")
+    assert rows(lookup_join(left, [one, two], ("k", "m")).select(plain.columns)) == rows(plain)
+
+
 def test_validate(spark):
     up = spark.createDataFrame(
         [("1", "x", "A", "9", "u"), ("2", "x", "B", "9", "v"), ("3", "x", None, None, "w"), (" 1", "x", "A", "9", "u")],

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tierflow.operators import classify, dims
 from tierflow.plans import registered
@@ -57,3 +58,36 @@ def test_distinct_needs_no_shuffle_of_its_own(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     top = text.split("SortMergeJoin")[0]
     assert top.count("HashAggregate") + top.count("SortAggregate") >= 2 and "Exchange" not in top
+
+
+def test_a_crowded_weight_is_split(spark):
+    """A third of all rows share one weight; with low limits the join on it is cut up."""
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+    }
+    old = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        weight = F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double"))
+        rows = spark.range(0, 300_000, 1, 8).select(
+            F.lit("1").alias("dc"),
+            F.lit("m").alias("mcat"),
+            F.sha2(F.col("id").cast("string"), 256).alias("item"),
+            weight.alias("velocity_weight"),
+        )
+        ranked = classify.tier_percentile(rows)
+        executed = ranked._jdf.queryExecution().executedPlan()
+        executed.execute().count()
+        text = executed.toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in text and "AQEShuffleRead skewed" in text

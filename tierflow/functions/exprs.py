@@ -43,6 +43,7 @@ def exact_sum(c: Column | str, scale: int = 6) -> Column:
     A sum of doubles may differ in its last bit each time a lost shuffle block
     is computed again, and such a sum must not feed a join or a tie test. Adding
     whole units of 10**-scale as longs is exact and is as cheap as adding doubles.
+    A total beyond about 9e18 units raises an error; it does not wrap.
     """
     unit = float(10**scale)
     return F.sum(F.round(_col(c) * F.lit(unit)).cast("long")) / F.lit(unit)
