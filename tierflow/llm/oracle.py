@@ -93,3 +93,62 @@ shards AS (
   WHERE (a.bytes <= {limit} OR a.n = 1) AND (a.depth = 0 OR (p.bytes > {limit} AND p.n > 1)))
 SELECT doc_id, d.bytes, prefix AS shard, depth AS shard_depth, shards.bytes AS shard_bytes
 FROM d JOIN shards ON substr(bits, 1, depth) = prefix"""
+
+
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) g(i)),
+n AS (
+  SELECT *, row_number() OVER o - 1 AS i, lag(role) OVER o AS before, lead(role) OVER o IS NULL AS final,
+         replace(replace(text, '\', '\\'), '<|', '<\|') AS inside
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>' || role || chr(10) || inside || '<|im_end|>' || chr(10)))::bigint AS formatted_chars,
+       min(i) FILTER (NOT fits) IS NULL AND bool_or(final AND role = 'assistant') AS valid,
+       min(i) FILTER (NOT fits)::bigint AS first_error
+FROM (SELECT *, coalesce(before, 'start') || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant',
+             'assistant>user', 'assistant>tool', 'tool>assistant', 'tool>tool') AS fits FROM n)
+GROUP BY conv_id"""
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::integer AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+NEAR_DUPLICATES = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+g AS (
+  SELECT doc_id, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS s
+  FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM g WHERE s IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, c.b AS component_id, w.doc_id = c.b AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) c ON c.a = w.doc_id"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes,
+       (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ('0b' || substr(b, 5 * i + 1, 5))::integer, 1), '' ORDER BY i)
+        FROM (SELECT string_agg(lpad(bin(('0x' || substr(sha1(h), 4 * j + 1, 4))::integer), 16, '0'), '' ORDER BY j) AS b FROM range(10) r(j)), range(32) g(i)) AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m"""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tierflow.llm import extendible, oracle, packing, quality_rules, systematic_mix
+from tierflow.llm import chat, extendible, oracle, packing, quality_rules, systematic_mix, topk, warc
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark, sf_dir):
+    return chat.report(_table(spark, sf_dir, "conversations"))
+
+
 def op3_power_of_two_packing(spark, sf_dir):
     return packing.report(_table(spark, sf_dir, "documents"))
 
@@ -17,6 +21,14 @@ def op4_systematic_mix(spark, sf_dir):
     return systematic_mix.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark, sf_dir):
+    return topk.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark, sf_dir):
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
@@ -26,14 +38,20 @@ def op9_extendible_shards(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op3_power_of_two_packing": op3_power_of_two_packing,
     "op4_systematic_mix": op4_systematic_mix,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op9_extendible_shards": op9_extendible_shards,
 }
 
 ORACLE = {
+    "op1_chat_formatting": oracle.CHAT,
     "op4_systematic_mix": oracle.systematic_mix(),
+    "op5_exact_top_k": oracle.TOP_K,
+    "op6_warc": oracle.WARC,
     "op7_quality_rules": oracle.quality_rules(),
     "op9_extendible_shards": oracle.extendible(extendible.LIMIT),
 }
