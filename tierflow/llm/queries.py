@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tierflow.llm import chat, extendible, oracle, packing, quality_rules, systematic_mix, topk, warc
+from tierflow.llm import chat, extendible, hyperminhash, oracle, packing, quality_rules, systematic_mix, topk, warc
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_chat_formatting(spark, sf_dir):
     return chat.report(_table(spark, sf_dir, "conversations"))
 
 
+def op2_hyperminhash_near_dedup(spark, sf_dir):
+    return hyperminhash.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_power_of_two_packing(spark, sf_dir):
     return packing.report(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op9_extendible_shards(spark, sf_dir):
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_hyperminhash_near_dedup": op2_hyperminhash_near_dedup,
     "op3_power_of_two_packing": op3_power_of_two_packing,
     "op4_systematic_mix": op4_systematic_mix,
     "op5_exact_top_k": op5_exact_top_k,
@@ -49,6 +54,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_chat_formatting": oracle.CHAT,
+    "op2_hyperminhash_near_dedup": oracle.NEAR_DUPLICATES,
     "op4_systematic_mix": oracle.systematic_mix(),
     "op5_exact_top_k": oracle.TOP_K,
     "op6_warc": oracle.WARC,
