@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tierflow.llm import chat, extendible, hyperminhash, oracle, packing, quality_rules, systematic_mix, topk, warc
+import corpus_pipeline
+from tierflow.llm import chat, extendible, hyperminhash, oracle, packing, ppm, quality_rules, systematic_mix, topk, warc, weak_label
 
 
 def _table(spark, sf_dir, name):
@@ -37,10 +38,18 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_weak_label_quality(spark, sf_dir):
+    return weak_label.scored(_table(spark, sf_dir, "documents"))
+
+
 def op9_extendible_shards(spark, sf_dir):
     return extendible.sharded(_table(spark, sf_dir, "documents"))
 
 
+def op10_ppm(spark, sf_dir):
+    return ppm.scored(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_hyperminhash_near_dedup": op2_hyperminhash_near_dedup,
@@ -49,7 +58,10 @@ QUERIES = {
     "op5_exact_top_k": op5_exact_top_k,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
+    "op8_weak_label_quality": op8_weak_label_quality,
     "op9_extendible_shards": op9_extendible_shards,
+    "op10_ppm": op10_ppm,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {

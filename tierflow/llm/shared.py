@@ -37,7 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Later steps read the table, so a lost executor costs a reread, not the whole lineage.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
