@@ -3,8 +3,8 @@
 Eight heuristic labellers vote good, bad or nothing on every text. What they say together
 is one of at most 3**8 patterns, so one grouped count of patterns over all documents is
 all that expectation maximisation needs: it estimates the share of good documents and
-how often each labellers votes what on good and on bad ones, without any true label. The
-posterior of a pattern is the soft label of its documents.
+how often each labeller is right when it votes, without any true label. The posterior
+of a pattern is the soft label of its documents.
 
 A linear scorer over hashed three-byte grams (share of each bucket in the text) is then
 fitted to the posteriors of a sample, by logistic loss. `SAMPLE` bounds the rows it is
@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tierflow.llm.quality_rules import STOP_WORDS, SYMBOLS
 from tierflow.llm.words import lowered, sliced, text_bytes, word_hashes
@@ -36,6 +35,8 @@ BUCKET_BITS = 14
 GRAM = 3
 #: Documents stay whose score (probability of good) is at least this.
 KEEP = 0.5
+#: No labeller is taken to be right less often than this.
+LEAST_ACCURACY = 0.7
 _CHUNK = 2 << 20
 _EPOCHS, _RATE, _DECAY = 300, 2.0, 1e-6
 
@@ -52,15 +53,16 @@ class Labeller:
 
 
 _INF = float("inf")
+_NEVER = (_INF, -_INF)
 LABELLERS = (
-    Labeller("symbols", -_INF, 0.08, -_INF, 0.02),
-    Labeller("stop_words", 0.05, _INF, 0.12, _INF),
-    Labeller("shouts", -_INF, 0.2, -_INF, 0.02),
-    Labeller("new_windows", 0.75, _INF, 0.95, _INF),
-    Labeller("capitals", -_INF, 0.4, -_INF, 0.2),
-    Labeller("words", 8, _INF, 40, _INF),
-    Labeller("word_length", 3.0, 8.0, 3.8, 6.5),
-    Labeller("repeats", -_INF, 0.15, -_INF, 0.02),
+    Labeller("symbols", -_INF, 0.06, *_NEVER),
+    Labeller("stop_words", 0.05, _INF, 0.10, _INF),
+    Labeller("shouts", -_INF, 0.2, *_NEVER),
+    Labeller("new_windows", 0.75, _INF, *_NEVER),
+    Labeller("capitals", -_INF, 0.4, *_NEVER),
+    Labeller("words", 1, _INF, *_NEVER),
+    Labeller("word_length", 3.0, 8.0, *_NEVER),
+    Labeller("repeats", -_INF, 0.15, *_NEVER),
 )
 
 
@@ -91,7 +93,7 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
     new = np.array([len(np.unique(three[a : b - 2])) if b - a >= 20 else np.nan for a, b in zip(places[:-1].tolist(), places[1:].tolist())], float)
     return {
         "symbols": per_text(_IS_SYMBOL[data], borders) / np.where(chars > 0, chars, np.nan),
-        "stop_words": per_text(np.isin(hashes, _STOP), places) / np.where(n >= 10, n, np.nan),
+        "stop_words": per_text(np.isin(hashes, _STOP) & ~same, places) / np.where(n >= 10, n, np.nan),
         "shouts": per_text(data == 33, borders) / some,
         "new_windows": new / np.maximum(1, n - 2),
         "capitals": per_text((data >= 65) & (data <= 90), borders) / np.where(letters > 20, letters, np.nan),
@@ -117,28 +119,25 @@ def digits(pattern: np.ndarray) -> np.ndarray:
 
 
 def posteriors(pattern: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
-    """P(good | pattern), the share of good documents, and P(vote | class) of every labeller.
+    """P(good | pattern), the share of good documents, and the accuracy of every labeller.
 
-    Starts from the majority of votes, which also fixes which class is called good.
+    A labeller that votes is right with its accuracy, whatever the class; no vote tells
+    nothing. Starts from the majority of votes, which also fixes which class is good.
     """
     votes = digits(pattern)
-    good = 0.5 + 0.45 * np.sign((votes == 2).sum(axis=1) - 2.0 * (votes == 1).sum(axis=1))
+    sign = np.where(votes == 2, 1.0, np.where(votes == 1, -1.0, 0.0))
+    good = 0.5 + 0.4 * np.sign(sign.sum(axis=1) + 0.5)
+    share, accuracy = 0.5, np.full(len(LABELLERS), 0.5)
     for _ in range(rounds):
-        share, table = 0.5, np.zeros((len(LABELLERS), 2, 3))
-        weight = np.stack([(1 - good) * counts, good * counts])
-        share = (weight[1].sum() + 1) / (weight.sum() + 2)
-        for v in range(3):
-            table[:, :, v] = ((votes == v).T @ weight.T) + 0.1
-        table /= table.sum(axis=2, keepdims=True)
-        log = np.log(table)
-        logit = np.log(share) - np.log(1 - share)
-        for i in range(len(LABELLERS)):
-            logit = logit + (log[i, 1] - log[i, 0])[votes[:, i]]
-        new = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        share = float((good @ counts + 1) / (counts.sum() + 2))
+        right = np.where(votes == 2, good[:, None], np.where(votes == 1, 1 - good[:, None], 0.0))
+        accuracy = np.clip((counts @ right + 1.8) / (counts @ (votes > 0) + 2), LEAST_ACCURACY, 0.99)
+        logit = np.log(share / (1 - share)) + sign @ np.log(accuracy / (1 - accuracy))
+        new = 1 / (1 + np.exp(-logit))
         done, good = np.abs(new - good).max(initial=0) < 1e-9, new
         if done:
             break
-    return good, float(share), table
+    return good, share, accuracy
 
 
 def _buckets(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +193,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(_pattern_counts, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     pattern, counts = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], float)
-    good, share, table = posteriors(pattern, counts)
+    good, share, accuracies = posteriors(pattern, counts)
     posterior = dict(zip(pattern.tolist(), good.tolist()))
-    agree = (table[:, 0, 1] * (1 - share) + table[:, 1, 2] * share) / np.maximum(1e-12, (table[:, 0, 1:].sum(axis=1) * (1 - share) + table[:, 1, 1:].sum(axis=1) * share))
     weights, bias = np.zeros(1 << BUCKET_BITS), float(np.log(share / (1 - share)))
     n = counts.sum()
     if n:
@@ -207,7 +205,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             hashed = hashed.where(F.col("h") <= int(part * (1 << 64)) - (1 << 63))
         rows = hashed.mapInArrow(_features, "h long, pattern long, buckets binary, shares binary").orderBy("h", "pattern").limit(sample).collect()
         weights, bias = _fitted([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.shares, "<f4"), posterior.get(r.pattern, share)) for r in rows], bias)
-    return Model(posterior, weights, bias, share, agree)
+    return Model(posterior, weights, bias, share, accuracies)
 
 
 def _fitted(rows: list[tuple[np.ndarray, np.ndarray, float]], bias: float) -> tuple[np.ndarray, float]:
