@@ -7,13 +7,13 @@ of a bucket chosen by a fixed probe sequence. Bands of five registers are the ca
 keys: two sets of similarity 0.75 miss all 51 bands about once in a million times.
 
 Work is on classes: documents with the same shingle set share a class, so copies never
-meet. In each bucket of a band that holds two classes or more, a few pivots are compared
-with all other members: first by the sketch (share of equal registers, corrected for
+meet. In each bucket of a band that holds two classes or more, pivots are compared with
+all other members of fitting size: first by the sketch (share of equal registers, corrected for
 chance collisions; far below the threshold means no link), then by the full sets from
 both texts. Pairs whose classes are connected already need no comparison. Members that
-were pivots leave the bucket; rounds go on until no bucket holds two components. So every
-pair that shares a band is compared or known to be connected, and no round makes more
-rows than pivots times members.
+were pivots leave the bucket; rounds with more and more pivots go on until no bucket
+holds two components. So every pair that shares a band is compared or known to be
+connected, and a large group of copies costs a few comparisons for each.
 
 Defined results: a null text is empty; a document without words has no shingles, links
 with nothing and is kept; with one to four words the whole sequence is its one shingle;
@@ -43,7 +43,7 @@ ROWS, BANDS = 5, 51
 MARGIN = 0.25
 #: Sets below this size are compared in full without an estimate.
 SMALL = 64
-PIVOTS = 4
+PIVOTS = 16
 _ROW = "__near_row"
 
 _U = np.uint64
@@ -125,7 +125,8 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : ROWS * BANDS].astype(_U)
         bands = mix((regs.reshape(-1, BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=2, dtype=_U) ^ _SALTS)
-        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], ["band", "key"])
+        again = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
+        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), b.column(0).take(again), b.column(2).take(again)], ["band", "key", "n"])
 
 
 def _estimates(threshold: float):
@@ -177,7 +178,6 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     labels = keys.withColumn("component", F.col("key"))
     if start is not None:
         labels = start.unionByName(labels.join(start, "key", "left_anti"))
-    labels = stored(labels, "labels")
     while True:
         other = labels.select(F.col("key").alias("b"), F.col("component").alias("near"))
         own = labels.select(F.col("key").alias("a"), F.col("component").alias("root"))
@@ -189,16 +189,17 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
         labels = labels.join(seen, "key", "left").select("key", F.least("component", F.coalesce("near", "component")).alias("component"))
         changed = True
         while changed:
+            labels = stored(labels, "labels")
             up = labels.select(F.col("key").alias("component"), F.col("component").alias("up"))
-            jumped = stored(labels.join(up, "component").select("key", F.col("up").alias("component"), (F.col("up") != F.col("component")).alias("changed")), "labels")
+            jumped = labels.join(up, "component").select("key", F.col("up").alias("component"), (F.col("up") != F.col("component")).alias("changed"))
             changed = not jumped.where("changed").isEmpty()
-            labels = jumped.drop("changed")
+            labels = jumped.drop("changed") if changed else labels
 
 
 def _compared(pairs: DataFrame, rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """The pairs (key, pivot) that link: first by sketch, then by the sets of both texts."""
     percent = round(100 * threshold)
-    involved = stored(pairs.select("key").union(pairs.select("pivot")).distinct(), "involved")
+    involved = pairs.select("key").union(pairs.select("pivot")).distinct()
     # One row stands for each class.
     slim = table.select("key", "row").join(involved, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     held = stored(table.join(slim.select("row"), "row", "left_semi").select("row", "key", "n_shingles", "sketch"), "representatives")
@@ -211,42 +212,45 @@ def _compared(pairs: DataFrame, rows: DataFrame, table: DataFrame, threshold: fl
     return full.mapInArrow(_verified(percent), "key long, pivot long")
 
 
-def _rank(key: Column, seed: int) -> Column:
-    return F.struct(F.xxhash64(key, F.lit(seed)), key.alias("key"))
+def _like_sizes(n: Column, m: Column, threshold: float) -> Column:
+    """Sets of these sizes can reach the threshold."""
+    return 100 * F.least(n, m) >= round(100 * threshold) * F.greatest(n, m)
 
 
 def linked_classes(rows: DataFrame, table: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """key and component of all classes that link with another; numbered rows and their sketches()."""
-    bands = table.where("key is not null").select("key", "sketch").mapInArrow(_bands, "band long, key long")
-    crowded = bands.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot <> most")
-    members = stored(bands.join(crowded.select("band", "pivot"), "band").distinct(), "band-members")
-    pairs = stored(members.where("key <> pivot").select("key", "pivot").distinct(), "pairs")
-    members = members.where("key <> pivot").select("band", "key")
-    labels, seed = None, 0
-    tested = pairs
+    """key and component of all classes that link with another; numbered rows and their sketches().
+
+    First every member of a bucket is compared with the smallest. Then members outside
+    the largest component of their bucket are pivots, PIVOTS of a bucket in the first
+    round and eight times as many in each further one.
+    """
+    bands = table.where("key is not null").select("key", "sketch", "n_shingles").mapInArrow(_bands, "band long, key long, n long")
+    crowded = bands.groupBy("band").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("most")).where("first.key <> most")
+    members = stored(bands.join(crowded.select("band", "first"), "band").distinct(), "band-members")
+    pairs = members.where("key <> first.key").where(_like_sizes(F.col("n"), F.col("first.n"), threshold))
+    pairs = stored(pairs.select("key", F.col("first.key").alias("pivot")).distinct(), "pairs")
+    members = members.where("key <> first.key").select("band", "key", "n")
+    tested, labels, most = pairs, None, PIVOTS
     while True:
         found = stored(_compared(pairs, rows, table, threshold).toDF("a", "b"), "links")
         if labels is None or not found.isEmpty():
             labels = components(found, labels)
         known = members.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed = known.groupBy("band").agg(
-            F.min("component").alias("least"), F.max("component").alias("most"),
-            F.min(F.struct("component", "key"))["key"].alias("p0"), F.max(F.struct("component", "key"))["key"].alias("p1"),
-            *[F.min(_rank(F.col("key"), PIVOTS * seed + i))["key"].alias(f"p{i}") for i in range(2, PIVOTS)],
-        ).where("least <> most")
-        mixed = mixed.select("band", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots"))
+        parts = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        mixed = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
+        mixed = mixed.where("parts > 1").select("band", F.col("largest.component").alias("largest"), F.ceil((F.col("all") - F.col("largest.n")) / most).alias("every"))
         # Buckets of one component are done; of the others the pivots leave after this round.
-        known = stored(known.join(mixed, "band"), "band-members")
+        chosen = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("key", F.lit(most)), F.col("every")) == 0)
+        known = stored(known.join(mixed, "band").select("band", "key", "n", "component", chosen.alias("chosen")), "band-members")
         if known.isEmpty():
             return labels
-        made = known.select("key", F.explode("pivots").alias("pivot")).where("key <> pivot").select(F.least("key", "pivot").alias("pivot"), F.greatest("key", "pivot").alias("key")).distinct()
-        roots = labels.toDF("pivot", "pivot_component")
-        made = made.join(labels, "key", "left").join(roots, "pivot", "left")
-        made = made.where(F.coalesce("component", "key") != F.coalesce("pivot_component", "pivot")).select("key", "pivot")
-        pairs = stored(made.join(tested.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot")), ["key", "pivot"], "left_anti"), "pairs")
+        pivots = known.where("chosen").select("band", F.col("key").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
+        met = known.join(pivots, "band").where(F.col("component") != F.col("other")).where(_like_sizes(F.col("n"), F.col("m"), threshold))
+        met = met.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot")).distinct()
+        pairs = stored(met.join(tested, ["key", "pivot"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        members = known.where(~F.array_contains("pivots", F.col("key"))).select("band", "key")
-        seed += 1
+        members = known.where(~F.col("chosen")).select("band", "key", "n")
+        most *= 8
 
 
 def grouped(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
