@@ -10,13 +10,11 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from tierflow.plans import registered
-from tierflow.sources import registry
 
 HEADLINE = (
     "forecast_window",
@@ -55,8 +53,6 @@ def session(cpus: str) -> SparkSession:
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if registry.staging_dir(spark) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tierflow-bench-"))
     return spark
 
 

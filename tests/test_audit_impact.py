@@ -262,3 +262,11 @@ def test_report_parts(two_runs):
     assert summary["section"].nunique() == 7
     ranked = summary[summary["metric"] == policy.TO_RANKED].iloc[0]
     assert ranked["value"] == 3 and np.isclose(ranked["detail"], 37.5)
+
+
+def test_last_row_of_a_report_read_from_file(spark):
+    report = spark.createDataFrame([("1", "x", "A", "9"), ("1", "x", "B", "10"), ("2", "x", "C", None)], "ITEM string, `DC NUMBER` string, VELOCITY string, seq string")
+    got = audit.latest_state(report).select("ITEM", "VELOCITY")
+    assert sorted(map(tuple, got.collect())) == [("1", "B"), ("2", "C")]
+    with pytest.raises(Exception, match="order column holds"):
+        audit.latest_state(report.withColumn("seq", F.lit("last"))).collect()

@@ -40,6 +40,16 @@ def test_zero_trim_and_exact_sum(spark):
     df = spark.createDataFrame([("00120", 0.1), ("000", 0.2), ("12", None)], "id string, q double")
     assert rows(df.select(zero_trim("id"))) == [("",), ("12",), ("120",)]
     assert df.agg(exact_sum("q")).first()[0] == 0.3
+    small = spark.createDataFrame([(4e-7,)] * 4, "q double")
+    assert small.agg(exact_sum("q")).first()[0] == 1.6e-6
+    large = spark.createDataFrame([(6e12,), (1e13,)], "q double")
+    assert large.agg(exact_sum("q")).first()[0] == 1.6e13
+
+
+def test_first_weeks_put_a_null_week_last(spark):
+    data = [("p", "i", "FY", w, 1.0) for w in (None, "W01", "W02")]
+    soq = spark.createDataFrame(data, "plant string, item string, orderplace_fy string, orderplace_fw string, soq double")
+    assert dims.soq_first_weeks(soq, "FY", 2).first()["total_soq"] == 2.0
 
 
 def test_calendar_info(spark):

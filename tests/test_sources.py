@@ -58,7 +58,14 @@ def test_segmented_reader(spark, tmp_path):
         ("A1", "z"), ("B1", None), ("C1", None), ("D1", None), ("E1", None),
     ]
     alone = uploads.read_segmented(spark, {t: paths[t] for t in "BD"})
-    assert rows(alone.select("JDA_ITEM")) == [("B1",)]
+    assert rows(alone.select("JDA_ITEM")) == [("B1",), ("D1",)]
+
+
+def test_tiers_without_rows(spark, tmp_path):
+    frame = spark.createDataFrame([("1", "L", "B"), ("2", "L", "d "), ("3", "L", "Missing Data")], "JDA_ITEM string, JDA_LOC string, proposed_velocity string")
+    sinks.write_by_tier(frame, str(tmp_path / "out"))
+    got = uploads.read_by_tier(spark, str(tmp_path / "out"))
+    assert rows(got.select("JDA_ITEM")) == [("1",), ("2",)] and "tier" not in got.columns
 
 
 def test_state_sheet(spark, tmp_path):
@@ -112,10 +119,8 @@ def test_delta_reload_equals_template(spark, tmp_path):
     assert rows(again) == rows(audit.to_template(audit.apply_subset(status)))
 
 
-def test_stage_follows_the_session_folder(spark, tmp_path, monkeypatch):
+def test_stage_writes_to_the_session_folder(spark, tmp_path, monkeypatch):
     df = spark.range(5).toDF("k")
-    monkeypatch.setattr(registry, "staging_dir", lambda s: None)
-    assert registry.stage(df, "x") is df
     monkeypatch.setattr(registry, "staging_dir", lambda s: str(tmp_path))
     staged = registry.stage(df, "x")
     assert rows(staged) == rows(df) and list(tmp_path.glob("x-*"))

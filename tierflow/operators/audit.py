@@ -155,7 +155,14 @@ def latest_state(report: DataFrame, seq: str = "seq") -> DataFrame:
         raise ValueError(f"the report has no order column {seq!r}")
     keys = ["ITEM", "DC NUMBER"]
     rest = [c for c in report.columns if c not in (*keys, seq)]
-    last = F.max(F.struct(*[F.col(f"`{c}`") for c in (seq, *rest)])).alias("last")
+    order = F.col(f"`{seq}`")
+    if dict(report.dtypes)[seq] == "string":
+        # a report read from file is text, and 10 comes after 9
+        number = F.expr(f"try_cast(trim(`{seq}`) as decimal(38,9))")
+        bad = F.raise_error(F.concat(F.lit("the order column holds "), order))
+        blank = order.isNull() | (F.trim(order) == "")
+        order = F.when(number.isNull() & ~blank, bad.cast("decimal(38,9)")).otherwise(number)
+    last = F.max(F.struct(order, *[F.col(f"`{c}`") for c in rest])).alias("last")
     return (
         report.groupBy(*[F.col(f"`{k}`") for k in keys])
         .agg(last)

@@ -217,7 +217,7 @@ def soq_first_weeks(projections: DataFrame, fiscal_year: str, n: int = 13) -> Da
         year.select("orderplace_fw")
         .distinct()
         .select(week.alias("week_num"))
-        .orderBy("week_num")
+        .orderBy(F.col("week_num").asc_nulls_last())
         .limit(n)
     )
     # at most n one-column rows, so this side is always small enough to broadcast

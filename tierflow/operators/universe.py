@@ -489,7 +489,7 @@ def with_usn_lookups(
     )
     merchants = t["category_ref"].filter(
         (F.col("source") == net.network) & F.col("is_current")
-    ).select(F.trim(F.upper("material_level2_code")).alias("level2"), "dmm")
+    ).select(F.trim(F.upper("material_level2_code")).alias("level2"), "dmm").distinct()
     return (
         assortment.join(
             t["storage_type"].select(

@@ -283,7 +283,6 @@ USN_NAMES = {
     "extract": "u_extract",
     "instock_weekly": "u_instock_weekly",
     "soq": "u_soq",
-    "category_ref": "category_codes",
 }
 
 

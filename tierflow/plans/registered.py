@@ -641,7 +641,7 @@ def _(spark, sf_dir):
     path = registry.scratch_path(spark, "upload-by-tier")
     rows = output.upload_rows(output.changes(analysis_of(spark, sf_dir, "after"), AS_OF))
     sinks.write_by_tier(rows, path)
-    return uploads.read_segmented(spark, {t: f"{path}/tier={t}" for t in policy.TIERS})
+    return uploads.read_by_tier(spark, path)
 
 
 @register("delta_reload", "select * from o_template")

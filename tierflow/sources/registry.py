@@ -72,8 +72,18 @@ def staging_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path in the shared folder; where none is set, as in tests, in a new local one."""
-    folder = staging_dir(spark) or tempfile.mkdtemp(prefix="tierflow-")
+    """Fresh path in the shared folder.
+
+    Where none is set, a local session, as in tests, gets one; on a cluster that is an
+    error, since executors do not see each other's disks.
+    """
+    folder = staging_dir(spark)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tierflow-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
@@ -85,12 +95,11 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a written table in the shared folder, when the session names one.
+    """The frame as a written table in the shared folder.
 
-    A frame with several readers is then computed once and survives lost
-    executors. Without the folder the plan stays lazy.
+    A frame with several readers is then computed once and survives lost executors.
     """
-    return df if staging_dir(df.sparkSession) is None else write_scratch(df, name)
+    return write_scratch(df, name)
 
 
 _written: dict[tuple[str, str], tuple[str, StructType]] = {}

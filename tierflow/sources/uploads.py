@@ -78,19 +78,21 @@ def read_upload(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def read_segmented(
     spark: SparkSession, paths_by_tier: Mapping[str, str], fmt: str = "csv"
 ) -> DataFrame:
-    """Upload kept as one part per tier; without all five parts, the first part alone."""
-    parts = {str(name).strip(): path for name, path in paths_by_tier.items()}
-    if all(t in parts for t in policy.TIERS):
-        chosen = [parts[t] for t in policy.TIERS]
-    else:
-        chosen = list(parts.values())[:1]
-    frames = [read_text_table(spark, p, fmt) for p in chosen]
+    """Upload kept as one part per tier: the rows of every part given."""
+    if not paths_by_tier:
+        raise ValueError("no part of the upload was given")
+    frames = [read_text_table(spark, p, fmt) for p in paths_by_tier.values()]
     out = frames[0]
     for other in frames[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
     return as_upload(out)
 
 
+def read_by_tier(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Upload written by ``write_by_tier``, whichever tiers have rows."""
+    return as_upload(read_text_table(spark, path, fmt).drop("tier"))
+
+
 def read_sheet(
     spark: SparkSession, directory: str, name: str = policy.STATE_SHEET, fmt: str = "csv"
 ) -> DataFrame:
@@ -133,4 +135,4 @@ def upload_from_delta(delta: DataFrame) -> DataFrame:
         text("parm_velocity").alias("SAP_VELOCITY"),
         text("VELOCITY_REASON").alias("VELOCITY_REASON"),
         text("SAP_VELOCITY").alias("Old_Proposed_Velocity"),
-    ).orderBy("JDA_LOC", "JDA_ITEM")
+    )
