@@ -158,7 +158,10 @@ def judged(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text
 
 def apply_rules(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text: str = "text") -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    return judged(docs, thresholds, text).where(F.col(_P + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A filter on the verdict alone would be pushed below the projections, which repeats
+    # every measure in it many times over; one that needs a row number stays above them.
+    df = judged(docs, thresholds, text).withColumn(_P + "row", F.monotonically_increasing_id())
+    return df.where(F.col(_P + "kept") & (F.col(_P + "row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
