@@ -43,7 +43,7 @@ ROWS, BANDS = 5, 51
 MARGIN = 0.25
 #: Sets below this size are compared in full without an estimate.
 SMALL = 64
-PIVOTS = 16
+PIVOTS = 4
 _ROW = "__near_row"
 
 _U = np.uint64
@@ -238,9 +238,10 @@ def linked_classes(rows: DataFrame, table: DataFrame, threshold: float = 0.75) -
         known = members.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
         parts = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
         mixed = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
-        mixed = mixed.where("parts > 1").select("band", F.col("largest.component").alias("largest"), F.ceil((F.col("all") - F.col("largest.n")) / most).alias("every"))
+        mixed = mixed.where("parts > 1").select("band", F.col("largest.component").alias("largest"), (most / (F.col("all") - F.col("largest.n"))).alias("share"))
         # Buckets of one component are done; of the others the pivots leave after this round.
-        chosen = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("key", F.lit(most)), F.col("every")) == 0)
+        # All buckets take the smallest hashes first, so that they share their pivots.
+        chosen = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
         known = stored(known.join(mixed, "band").select("band", "key", "n", "component", chosen.alias("chosen")), "band-members")
         if known.isEmpty():
             return labels
