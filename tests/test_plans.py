@@ -29,7 +29,28 @@ def test_catalogue_conditions_reach_the_scan(spark):
     scan = next(s for s in re.findall(r"FileScan parquet \[werks[^\n]*", text) if "maktx" in s)
     assert "EqualTo(zzstocked,Y)" in scan and "EqualTo(eligible,X)" in scan
     usn = plan(active_universe(usn_tables(spark, SF), PARAMS, USN, "usn"))
-    assert "BroadcastNestedLoopJoin" not in usn or "LeftSemi" in usn
+    scan = next(s for s in re.findall(r"FileScan parquet [^\n]*", usn) if "ipr_category" in s)
+    assert "IsNotNull(ipr_category)" in scan
+
+
+def test_assortment_meets_one_table_of_warehouses(spark):
+    """Of the joins on warehouse keys alone, one has the assortment below it."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = active_universe(usn_tables(spark, SF), PARAMS, USN, "usn")
+        text = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = text.splitlines()
+    depth = [len(re.match(r"[\s:|+\-]*", s).group()) for s in lines]
+    over = 0
+    for i, s in enumerate(lines):
+        if not re.search(r"Join \w+, \((warehouse_number|warehouse_id|open_num)#\d+L? = \w+#\d+L?\)", s):
+            continue
+        below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        over += any("ipr_category" in x for x in lines[i:below])
+    assert over == 1
 
 
 def test_forecast_scan_prunes_and_filters(spark):

@@ -251,6 +251,49 @@ def _status(params: TierParams, net: NetworkPolicy) -> Column:
 # ---- network of usn numbers -----------------------------------------------------------------
 
 
+def usn_warehouses(
+    tables: Mapping[str, DataFrame], params: TierParams, net: NetworkPolicy
+) -> DataFrame:
+    """Warehouses with id, open code, region and location; none if the day is on no calendar.
+
+    A location comes from the plant's name where the warehouse runs, else from its number.
+    """
+    t = tables
+    running = (
+        t["open_warehouse"]
+        .filter(F.col("is_open_for_operations"))
+        .select("warehouse_id", F.col("warehouse_num").alias("open_num"), "region_name")
+    )
+    crosswalk = dims.warehouse_crosswalk(t["plant_names"]).select(
+        F.col("warehouse_num").alias("open_num"), F.col("plant_id").alias("named_location")
+    )
+    locations = dims.location_map(t["location"], *net.location_range).select(
+        F.col("dc").alias("warehouse_number"), F.col("loc").alias("numbered_location")
+    )
+    today = t["calendar"].filter(F.col("date_date") == F.lit(params.as_of)).select("date_date")
+    return (
+        t["dim_warehouse"]
+        .select(
+            F.col("warehouse_num").alias("warehouse_number"),
+            "warehouse_id",
+            F.lit(params.as_of).alias("date_date"),
+        )
+        .join(today, "date_date", "left_semi")
+        .join(t["warehouse"].select("warehouse_id", "is_open_for_operations"), "warehouse_id")
+        .join(running, "warehouse_id", "left")
+        .join(crosswalk, "open_num", "left")
+        .join(locations, "warehouse_number", "left")
+        .select(
+            "warehouse_number",
+            "warehouse_id",
+            "is_open_for_operations",
+            "region_name",
+            F.coalesce("named_location", "numbered_location").alias("location"),
+        )
+        .distinct()
+    )
+
+
 def universe_usn(
     tables: Mapping[str, DataFrame],
     params: TierParams,
@@ -259,32 +302,25 @@ def universe_usn(
 ) -> DataFrame:
     """Distinct assortment rows of the network with status, cost, price, stock and tier.
 
-    ``active_only`` is as in the material network.
+    All that depends on the warehouse alone is joined there (`usn_warehouses`), so the
+    assortment meets one table of warehouses. ``active_only`` is as in the material network.
     """
     t = tables
-    # the day must be on the calendar; any number of its rows gives the same universe
-    today = (
-        t["calendar"].filter(F.col("date_date") == F.lit(params.as_of)).select("date_date").limit(1)
-    )
     assortment = (
         t["assortment"]
         .select("warehouse_number", "usn", "item_description", "ipr_category")
         .distinct()
-        .withColumn("date_date", F.lit(params.as_of))
-    )
-    warehouses = (
-        t["dim_warehouse"]
-        .select(F.col("warehouse_num").alias("warehouse_number"), "warehouse_id")
-        .join(t["warehouse"].select("warehouse_id", "is_open_for_operations"), "warehouse_id")
     )
+    warehouses = usn_warehouses(t, params, net)
+    if active_only:
+        warehouses = warehouses.filter(usn_kept(net))
     skus = (
         t["sku"]
         .join(t["taxonomy"].select("taxonomy_id"), "taxonomy_id", "left_semi")
         .select("usn", "sku_id")
     )
     rows = (
-        assortment.join(F.broadcast(today), "date_date", "left_semi")
-        .join(
+        assortment.join(
             t["inventory_master"].select("usn", "warehouse_number"),
             ["usn", "warehouse_number"],
             "left_semi",
@@ -293,19 +329,8 @@ def universe_usn(
         .join(skus, "usn")
     )
     if active_only:
-        rows = rows.filter(usn_active() & usn_kept(net))
+        rows = rows.filter(usn_active())
 
-    open_warehouses = (
-        t["open_warehouse"]
-        .filter(F.col("is_open_for_operations"))
-        .select("warehouse_id", F.col("warehouse_num").alias("open_num"), "region_name")
-    )
-    crosswalk = dims.warehouse_crosswalk(t["plant_names"]).select(
-        F.col("warehouse_num").alias("open_num"), F.col("plant_id").alias("named_location")
-    )
-    locations = dims.location_map(t["location"], *net.location_range).select(
-        F.col("dc").alias("warehouse_number"), F.col("loc").alias("numbered_location")
-    )
     prices = dims.unit_price_ratio(
         t["sales"], t["sku"], params.as_of, params.sales_price_days
     ).select("usn", F.col("shipping_warehouse_id").alias("warehouse_id"), "unit_price")
@@ -330,11 +355,7 @@ def universe_usn(
         "udc_velocity_code",
     )
     rows = (
-        rows.join(open_warehouses, "warehouse_id", "left")
-        .join(crosswalk, "open_num", "left")
-        .join(locations, "warehouse_number", "left")
-        .withColumn("location", F.coalesce("named_location", "numbered_location"))
-        .join(prices, ["usn", "warehouse_id"], "left")
+        rows.join(prices, ["usn", "warehouse_id"], "left")
         .join(receipts, ["usn", "warehouse_number"], "left")
         .join(stock.drop("instock_rate"), ["sku_id", "warehouse_number"], "left")
         .join(items, ["usn", "location"], "left")

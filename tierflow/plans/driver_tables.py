@@ -172,8 +172,9 @@ SQL = {
                case when t.p_size % 9 = 0 then 'Obsolete' else 'Replenished' end as ipr_category
         from {pairs} q join {part} t on q.p = t.p_partkey""",
     "inventory_master": """
-        select distinct 'U' || cast(p as string) as usn, dc as warehouse_number
-        from {shipments} where l_linestatus = 'F'""",
+        select distinct case when l_linestatus = 'F' then 'U' else 'X' end || cast(p as string)
+               as usn, dc as warehouse_number
+        from {shipments}""",
     "dim_warehouse": """
         select cast(n_nationkey as string) as warehouse_num, n_nationkey as warehouse_id
         from {nation}""",
@@ -195,9 +196,10 @@ SQL = {
                r.r_name as region_name, n.n_nationkey <> 4 as is_open_for_operations
         from {nation} n join {region} r on n.n_regionkey = r.r_regionkey""",
     "plant_names": """
-        select 'W' || lpad(cast(n_nationkey as string), 2, '_') || '_' || n_name as name1,
+        select case when n_regionkey = 2 then 'WX' else 'W' end
+                   || lpad(cast(n_nationkey as string), 2, '_') || '_' || n_name as name1,
                cast(3211 + n_nationkey as string) as werks
-        from {nation} where n_regionkey <> 2""",
+        from {nation}""",
     "location": """
         select cast(3211 + n_nationkey as string) as loc,
                cast(n_nationkey as string) || ' - ' || n_name as descr
@@ -221,7 +223,6 @@ SQL = {
                case when p_size > 45 then 'N2' else 'N1' end as source,
                p_size <> 7 as is_current
         from {part}""",
-    "category_codes": "select distinct * from {category_ref}",
     "customer_locations": """
         select cast(3000 + c_custkey as string) as loc,
                cast(c_nationkey as string) || ' - ' || c_name as descr
@@ -247,34 +248,41 @@ SQL = {
     "category_xref": """
         select distinct 'N1|' || lpad(substr(p_brand, 7), 2, '0') as mcat_id from {part}
         union
-        select distinct 'PRO|' || cast(p_size % 10 as string) from {part} where p_size > 20""",
+        select distinct case when p_size % 10 = 3 then 'OLD|' else 'PRO|' end
+               || cast(p_size % 10 as string) from {part}""",
     "atp": """
-        select dc as werks, lpad(item, 12, '0') as matnr, sum(qty) as atp_qty
-        from {shipments} where l_linestatus = 'O' group by dc, item""",
+        select dc as werks, matnr, sum(qty) as atp_qty from (
+            select dc, qty, case when l_linestatus = 'O' then lpad(item, 12, '0')
+                   else 'X' || item end as matnr
+            from {shipments}) s group by dc, matnr""",
     "location_hierarchy": """
         select cast(n_nationkey as string) as werks, 'N1' as business_id,
                cast(n_regionkey as string) as svcg_linehaul
         from {nation}""",
     "instock_view": """
-        select dc as werks, item as matnr, max(qty) as instock_units
-        from {shipments} where l_returnflag = 'N' group by dc, item""",
+        select dc as werks, matnr, max(qty) as instock_units from (
+            select dc, qty, case when l_returnflag = 'N' then item else 'X' || item end as matnr
+            from {shipments}) s group by dc, matnr""",
     "catalogue_plan": f"""
-        select dc, item as material, min(l_returnflag) as plan_code
-        from {{shipments}} where ship_date >= date '{AS_OF}' group by dc, item""",
+        select dc, material, min(l_returnflag) as plan_code from (
+            select dc, l_returnflag, case when ship_date >= date '{AS_OF}' then item
+                   else 'X' || item end as material
+            from {{shipments}}) s group by dc, material""",
     "storage_type": """
-        select 'U' || cast(q.p as string) as usn, q.dc as warehouse_num, t.p_brand as storage_type
-        from {pairs} q join {part} t on q.p = t.p_partkey where t.p_size > 25""",
+        select case when t.p_size > 25 then 'U' else 'X' end || cast(q.p as string) as usn,
+               q.dc as warehouse_num, t.p_brand as storage_type
+        from {pairs} q join {part} t on q.p = t.p_partkey""",
     # the report of the system's state: one line per shipment, the last one counts;
-    # one region does not report
+    # one region reports under numbers that no recommendation has
     "state_report": """
-        select s.item as ITEM, s.dc as `DC NUMBER`,
+        select s.item as ITEM,
+               case when r.r_name = 'EUROPE' then '9' || s.dc else s.dc end as `DC NUMBER`,
                substr('ABCDE', cast(1 + s.qty as int) % 5 + 1, 1) as VELOCITY,
                t.p_name as `ITEM DESCRIPTION`, t.p_type as MCAT, t.p_brand as PCAT,
                s.l_orderkey * 10 + s.l_linenumber as seq
         from {shipments} s join {part} t on s.p = t.p_partkey
              join {nation} n on s.n = n.n_nationkey
-             join {region} r on n.n_regionkey = r.r_regionkey
-        where r.r_name <> 'EUROPE'""",
+             join {region} r on n.n_regionkey = r.r_regionkey""",
 }
 
 USN_NAMES = {
