@@ -270,7 +270,10 @@ def usn_warehouses(
     locations = dims.location_map(t["location"], *net.location_range).select(
         F.col("dc").alias("warehouse_number"), F.col("loc").alias("numbered_location")
     )
-    today = t["calendar"].filter(F.col("date_date") == F.lit(params.as_of)).select("date_date")
+    # any number of rows of the day gives the same warehouses
+    today = (
+        t["calendar"].filter(F.col("date_date") == F.lit(params.as_of)).select("date_date").limit(1)
+    )
     return (
         t["dim_warehouse"]
         .select(
