@@ -152,3 +152,46 @@ SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM m"""
+
+FILL_IN_MIDDLE = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(doc_id::varchar, '')) AS h
+  FROM documents),
+numbers AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::ubigint AS h1, ('0x' || h[9:16])::ubigint AS h2, ('0x' || h[17:24])::ubigint AS h3, ('0x' || h[25:32])::ubigint AS h4
+  FROM units),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1))::bigint AS i, greatest(h1 % (n + 1), h2 % (n + 1))::bigint AS j,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parts AS (
+  SELECT *, array_to_string(u[1:i], '') AS head, array_to_string(u[i + 1:j], '') AS middle, array_to_string(u[j + 1:], '') AS tail FROM cuts)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+DECONTAMINATION = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(item_id::varchar, '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+sizes AS (SELECT item, w, least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+starts AS (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM sizes),
+windows AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS gram FROM starts),
+kinds AS (SELECT DISTINCT k FROM windows),
+places AS (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM docs JOIN kinds ON len(w) >= k),
+grams AS (SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS gram FROM places),
+found AS (SELECT rid, item, k, p FROM grams JOIN windows USING (k, gram)),
+hits AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS place FROM (SELECT DISTINCT rid, k, p FROM found)) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tierflow.llm import chat, extendible, hyperminhash, oracle, packing, ppm, quality_rules, systematic_mix, topk, warc, weak_label
+from tierflow.llm import align, chat, decontaminate, extendible, fim, hyperminhash, oracle, packing, ppm, quality_rules, systematic_mix, topk, warc, weak_label
 
 
 def _table(spark, sf_dir, name):
@@ -50,6 +50,18 @@ def op10_ppm(spark, sf_dir):
     return ppm.scored(_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return align.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_hyperminhash_near_dedup": op2_hyperminhash_near_dedup,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_weak_label_quality": op8_weak_label_quality,
     "op9_extendible_shards": op9_extendible_shards,
     "op10_ppm": op10_ppm,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -72,4 +87,6 @@ ORACLE = {
     "op6_warc": oracle.WARC,
     "op7_quality_rules": oracle.quality_rules(),
     "op9_extendible_shards": oracle.extendible(extendible.LIMIT),
+    "op12_fill_in_middle": oracle.FILL_IN_MIDDLE,
+    "op13_benchmark_decontamination": oracle.DECONTAMINATION,
 }
