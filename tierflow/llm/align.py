@@ -180,7 +180,7 @@ def _given_back(tokens: pa.Array, ids: list[np.ndarray], wanted: list[bytes]) ->
     offsets = np.frombuffer(out.buffers()[1], np.int64)
     data = memoryview(out.buffers()[2])
     places = offsets[np.concatenate([[0], np.cumsum([len(x) for x in ids])])].tolist()
-    return [data[a:b] == w for a, b, w in zip(places, places[1:], wanted)]
+    return [bytes(data[a:b]) == w for a, b, w in zip(places, places[1:], wanted)]
 
 
 class _Aligned(NamedTuple):
