@@ -83,7 +83,7 @@ def test_tables_registry(spark, tmp_path):
     with pytest.raises(KeyError, match="nothing"):
         t["nothing"]
     got = registry.profile(t["t"]).first()
-    assert tuple(got) == (1, 2, "k,new") and registry.head(t["t"]).count() == 1
+    assert tuple(got)[:3] == (1, 2, "k,new") and registry.head(t["t"]).count() == 1
 
 
 def test_catalog_table_overwrite_and_preview(spark):
@@ -123,4 +123,4 @@ def test_stage_writes_to_the_session_folder(spark, tmp_path, monkeypatch):
     df = spark.range(5).toDF("k")
     monkeypatch.setattr(registry, "staging_dir", lambda s: str(tmp_path))
     staged = registry.stage(df, "x")
-    assert rows(staged) == rows(df) and list(tmp_path.glob("x-*"))
+    assert rows(staged) == rows(df) and list(tmp_path.glob("*/x-*"))

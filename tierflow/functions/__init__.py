@@ -3,17 +3,17 @@
 from tierflow.functions.exprs import (
     div0,
     div0null,
-    exact_sum,
     next_weekday,
     previous_weekday,
     text,
     zero_trim,
 )
+from tierflow.functions.sums import exact_sums
 
 __all__ = [
     "div0",
     "div0null",
-    "exact_sum",
+    "exact_sums",
     "next_weekday",
     "previous_weekday",
     "text",

@@ -37,17 +37,6 @@ def next_weekday(c: Column, day: str) -> Column:
     return F.next_day(c, day)
 
 
-def exact_sum(c: Column | str, scale: int = 12) -> Column:
-    """Sum of a double column that does not depend on the order of its rows.
-
-    A sum of doubles may differ in its last bit each time a lost shuffle block
-    is computed again, and such a sum must not feed a join or a tie test. Decimals
-    of 38 digits add exactly: ``scale`` after the point, so inputs as fine as
-    1e-12 and totals as large as 1e26 keep every digit.
-    """
-    return F.sum(_col(c).cast(f"decimal(38,{scale})")).cast("double")
-
-
 def text(c: Column | str) -> Column:
     """Trimmed text, the empty string for null."""
     return F.coalesce(F.trim(_col(c)), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.functions import text
-from tierflow.operators.joins import BOTH, NEW_ONLY, OLD_ONLY, presence_join
+from tierflow.operators.joins import BOTH, NEW_ONLY, OLD_ONLY, first_row, repeated
 from tierflow.plans import policy
 
 MISSING, MISMATCH, UPDATED = "MISSING_IN_PARM", "NOT_UPDATED_MISMATCH", "UPDATED_MATCH"
@@ -77,21 +77,50 @@ def _tier_by_key(upload: DataFrame, name: str) -> DataFrame:
     )
 
 
-def diff_uploads(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Keys on one side only, and keys whose tier differs; case counts."""
-    merged = presence_join(
-        _tier_by_key(old, "proposed_velocity_old"), _tier_by_key(new, "proposed_velocity_new"), KEYS
+def counted_sides(old: DataFrame, new: DataFrame, keys: tuple[str, ...], *values: str) -> DataFrame:
+    """old_n and new_n, the rows of both frames by key and values, with each frame read once.
+
+    A null key meets no other, so its two sides are kept ``apart``.
+    """
+    sides = old.select(*keys, *values).withColumn("side", F.lit("old")).unionByName(
+        new.select(*keys, *values).withColumn("side", F.lit("new"))
     )
-    before, after = (F.coalesce(f"proposed_velocity_{s}", F.lit("")) for s in ("old", "new"))
-    return (
-        merged.withColumns({"proposed_velocity_old": before, "proposed_velocity_new": after})
-        .filter(
-            (F.col("presence") != BOTH)
-            | (F.col("proposed_velocity_old") != F.col("proposed_velocity_new"))
-        )
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    return sides.groupBy(*keys, F.when(keyless, F.col("side")).otherwise("").alias("apart"), *values).agg(
+        F.count_if(F.col("side") == "old").alias("old_n"), F.count_if(F.col("side") == "new").alias("new_n")
     )
 
 
+def diff_uploads(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Keys on one side only, and keys whose tier differs; case counts.
+
+    Rows are counted by key and tier first. Each pair of unlike tiers of a key is then
+    repeated by the product of its counts, so copies meet as numbers, not as rows, and a key
+    holds as many entries as it has different tiers.
+    """
+    counts = counted_sides(_tier_by_key(old, "tier"), _tier_by_key(new, "tier"), KEYS, "tier")
+    side = lambda n: F.collect_list(F.when(F.col(n) > 0, F.struct("tier", F.col(n).alias("n"))))
+    by_key = counts.groupBy(*KEYS, "apart").agg(side("old_n").alias("before"), side("new_n").alias("after"))
+
+    def pair(presence: str, before: Column, after: Column, old_n: Column, new_n: Column) -> Column:
+        return F.struct(
+            before.alias("proposed_velocity_old"), after.alias("proposed_velocity_new"),
+            old_n.alias("old_n"), new_n.alias("new_n"), F.lit(presence).alias("presence"),
+        )
+
+    one, blank = F.lit(1).cast("long"), F.lit("")
+    unlike = F.flatten(F.transform("before", lambda a: F.transform(
+        F.filter("after", lambda b: b["tier"] != a["tier"]), lambda b: pair(BOTH, a["tier"], b["tier"], a["n"], b["n"])
+    )))
+    gone = F.transform("before", lambda a: pair(OLD_ONLY, a["tier"], blank, a["n"], one))
+    come = F.transform("after", lambda b: pair(NEW_ONLY, blank, b["tier"], one, b["n"]))
+    pairs = F.when(F.size("after") == 0, gone).when(F.size("before") == 0, come).otherwise(unlike)
+    rows = by_key.select(*KEYS, F.inline(pairs))
+    return repeated(repeated(rows, "old_n"), "new_n")
+
+
 def sorted_diff(diff: DataFrame) -> DataFrame:
     """Report order: location, then item."""
     return diff.orderBy("JDA_LOC", "JDA_ITEM")
@@ -103,18 +132,7 @@ def diff_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     The counts come from tiers counted by key: no row pair is built, and a key
     that repeats shrinks before its rows meet.
     """
-    sides = _tier_by_key(old, "tier").withColumn("side", F.lit("old")).unionByName(
-        _tier_by_key(new, "tier").withColumn("side", F.lit("new"))
-    )
-    old_n = F.count_if(F.col("side") == "old")
-    new_n = F.count_if(F.col("side") == "new")
-    # a null key meets no other, so its sides are kept apart
-    unmatched = F.when(
-        F.col("JDA_ITEM").isNull() | F.col("JDA_LOC").isNull(), F.col("side")
-    ).otherwise("")
-    by_tier = sides.groupBy(*KEYS, unmatched.alias("apart"), "tier").agg(
-        old_n.alias("old_n"), new_n.alias("new_n")
-    )
+    by_tier = counted_sides(_tier_by_key(old, "tier"), _tier_by_key(new, "tier"), KEYS, "tier")
     by_key = by_tier.groupBy(*KEYS, "apart").agg(
         F.sum("old_n").alias("old_n"),
         F.sum("new_n").alias("new_n"),
@@ -144,30 +162,43 @@ def diff_summary(old: DataFrame, new: DataFrame) -> DataFrame:
 # ---- were the recommendations applied? ------------------------------------------------------
 
 
+def _order_value(column: Column, kind: str) -> Column:
+    """The order column as a number or time; text holds numbers, dates or times.
+
+    10 comes after 9 in text too, and a text that is no number counts by its microseconds.
+    """
+    if kind != "string":
+        return column
+    shown = F.trim(column)
+    number = shown.try_cast("decimal(38,9)")
+    time = F.unix_micros(shown.try_cast("timestamp")).cast("decimal(38,9)")
+    bad = F.raise_error(F.concat(F.lit("the order column holds "), column)).cast("decimal(38,9)")
+    return F.when(column.isNull() | (shown == ""), None).otherwise(F.coalesce(number, time, bad))
+
+
 def latest_state(report: DataFrame, seq: str = "seq") -> DataFrame:
-    """Last row per (item, dc) by ``seq``, which the report must carry.
+    """Last row per (item, dc) by ``seq``, which the report must carry; nulls come first.
 
-    The maximum of a struct combines before the shuffle, where numbering the rows
-    would bring every copy of a key into one task. Rows of equal ``seq`` fall back
-    on their other columns, so the answer does not change from run to run.
+    ``seq`` is a number, a date or a time, or text of these. The greatest of each key is
+    found by a hash aggregate that holds the order value alone; only rows that have it meet
+    by key again. Rows of equal ``seq`` fall back on their other columns, so the
+    answer does not change from run to run.
     """
     if seq not in report.columns:
         raise ValueError(f"the report has no order column {seq!r}")
     keys = ["ITEM", "DC NUMBER"]
     rest = [c for c in report.columns if c not in (*keys, seq)]
-    order = F.col(f"`{seq}`")
-    if dict(report.dtypes)[seq] == "string":
-        # a report read from file is text, and 10 comes after 9
-        number = F.expr(f"try_cast(trim(`{seq}`) as decimal(38,9))")
-        bad = F.raise_error(F.concat(F.lit("the order column holds "), order))
-        blank = order.isNull() | (F.trim(order) == "")
-        order = F.when(number.isNull() & ~blank, bad.cast("decimal(38,9)")).otherwise(number)
-    last = F.max(F.struct(order, *[F.col(f"`{c}`") for c in rest])).alias("last")
-    return (
-        report.groupBy(*[F.col(f"`{k}`") for k in keys])
-        .agg(last)
-        .select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"last.`{c}`") for c in rest])
-    )
+    order = _order_value(F.col(f"`{seq}`"), dict(report.dtypes)[seq])
+    rows = report.select(*[F.col(f"`{c}`") for c in (*keys, *rest)], order.alias("__order"))
+    named = [F.col(f"`{k}`") for k in keys]
+    last = rows.groupBy(*named).agg(F.max("__order").alias("__last"))
+    last = last.select(*[k.alias(f"__key{i}") for i, k in enumerate(named)], "__last")
+    # an equal value per key and order: a busy key is dealt out by its order values
+    same = F.col("__order").eqNullSafe(F.col("__last"))
+    for i, k in enumerate(named):
+        same = same & k.eqNullSafe(F.col(f"__key{i}"))
+    kept = rows.join(last, same).select(*named, *[F.col(f"`{c}`") for c in rest])
+    return first_row(kept, keys, [F.col(f"`{c}`").desc_nulls_last() for c in rest] or [F.lit(1)])
 
 
 def apply_status(recommendations: DataFrame, state: DataFrame) -> DataFrame:
@@ -280,6 +311,7 @@ __all__ = [
     "apply_status",
     "apply_subset",
     "apply_summary",
+    "counted_sides",
     "dcsku",
     "diff_summary",
     "diff_uploads",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierflow.operators.joins import lookup_join
 from tierflow.plans import policy
 from tierflow.plans.params import TierParams
+from tierflow.sources.registry import stage
 
 RANK_KEYS = ("dc", "mcat")
 
@@ -105,38 +106,29 @@ def is_ranked() -> Column:
     return forecasted & (status.isNull() | (status != "New") | superseded)
 
 
-def _weight_bucket(weight: Column) -> Column:
-    """Whole number that never falls as the weight grows, about 9000 per decade; top for null."""
-    scaled = F.floor(F.signum(weight) * F.log1p(F.abs(weight)) * 4096)
-    return F.coalesce(scaled, F.lit(2**62))
-
-
 def weight_ranks(
     df: DataFrame, keys: tuple[str, ...] = RANK_KEYS, weight: str = "velocity_weight"
 ) -> DataFrame:
     """Percentile of every distinct weight in its group, exact, without a whole-group sort.
 
-    A plain percent_rank sorts each (dc, mcat) in one task. Here equal weights are
-    counted first, so that copies shrink to one row before the shuffle. The
-    distinct weights are cut into buckets by value. The rows above a weight are
-    those of the higher buckets plus those above it in its own bucket, and only
-    these two small windows are ordered. A null weight ranks first.
+    A plain percent_rank sorts each (dc, mcat) in one task. Here equal weights are counted
+    first, so that copies shrink to one row before the shuffle. The distinct (group,
+    weight) rows are dealt out by range, and each range is a bucket, written with its
+    number: ranges come from the data, so weights that lie close together spread over as many
+    tasks as others. The rows above a weight are those of the group's higher buckets, summed
+    over at most one row per bucket, plus those above it in its own bucket. A null weight
+    ranks first.
 
-    The group is one struct, so that a null key is a group like any other and the
-    join and the window on it share one shuffle.
+    The group is one struct, so that a null key is a group like any other.
     """
-    distinct = (
-        df.groupBy(
-            F.struct(*keys).alias("rank_group"),
-            _weight_bucket(F.col(weight)).alias("bucket"),
-            weight,
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    distinct = df.groupBy(F.struct(*keys).alias("rank_group"), weight).agg(F.count(F.lit(1)).alias("n"))
+    ranges = distinct.repartitionByRange("rank_group", F.col(weight).desc_nulls_first())
+    # ranges are drawn anew in each run, so both readers below need the written ones
+    weights = stage(ranges.withColumn("bucket", F.spark_partition_id()), "ranked-weights")
     whole = Window.partitionBy("rank_group")
-    higher = whole.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    higher = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        distinct.groupBy("rank_group", "bucket")
+        weights.groupBy("rank_group", "bucket")
         .agg(F.sum("n").alias("bucket_rows"))
         .select(
             "rank_group",
@@ -154,7 +146,7 @@ def weight_ranks(
     percentile = F.when(F.col("group_rows") <= 1, F.lit(0.0)).otherwise(
         F.round(above / (F.col("group_rows") - 1), 3)
     )
-    return distinct.join(buckets, ["rank_group", "bucket"]).select(
+    return weights.join(buckets, ["rank_group", "bucket"]).select(
         *[F.col(f"rank_group.{k}").alias(k) for k in keys],
         weight,
         percentile.alias("calculated_velocity_percentile"),

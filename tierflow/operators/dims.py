@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.functions import div0, exact_sum, next_weekday, previous_weekday, zero_trim
+from tierflow.functions import div0, exact_sums, next_weekday, previous_weekday, zero_trim
+from tierflow.operators.joins import first_row
 from tierflow.plans import policy
 
 
@@ -24,25 +25,11 @@ def calendar_info(calendar: DataFrame, as_of: dt.date) -> DataFrame:
 def vendor_team(relations: DataFrame) -> DataFrame:
     """One row per raw vendor: that of its first analyst by name, nulls last.
 
-    A minimum of structs keeps the row, so it combines before the shuffle and one
-    busy vendor never fills a task. '0123' and '123' stay two vendors here.
+    '0123' and '123' stay two vendors here.
     """
-    first = F.min(
-        F.struct(
-            F.col("inventory_analyst").isNull().alias("unnamed"),
-            "inventory_analyst",
-            "manager",
-        )
-    )
-    return (
-        relations.groupBy("vendor")
-        .agg(first.alias("first"))
-        .select(
-            zero_trim("vendor").alias("vendor"),
-            F.col("first.inventory_analyst").alias("inventory_analyst"),
-            F.col("first.manager").alias("manager"),
-        )
-    )
+    order = [F.col("inventory_analyst").asc_nulls_last(), F.col("manager").asc_nulls_first()]
+    first = first_row(relations.select("vendor", "inventory_analyst", "manager"), ["vendor"], order)
+    return first.withColumn("vendor", zero_trim("vendor"))
 
 
 def unit_price_avg(
@@ -77,16 +64,14 @@ def unit_price_avg(
     eligible = catalogue.filter(F.col("eligible") == "X").select(
         "matnr", F.col("werks").alias("dc")
     )
-    return (
-        kept_lines.join(kept_headers, "vbeln")
-        .groupBy("matnr", "dc")
-        .agg(exact_sum("netpr").alias("amount"), F.count("netpr").alias("lines"))
-        .join(eligible, ["matnr", "dc"])
-        .groupBy(zero_trim("matnr").alias("item"), "dc")
-        .agg(
-            (exact_sum("amount") / F.nullif(F.sum("lines"), F.lit(0))).alias("unit_price")
-        )
-    )
+    priced = F.col("netpr").isNotNull().cast("long")
+    by_material = exact_sums(
+        kept_lines.join(kept_headers, "vbeln"), ["matnr", "dc"], {"amount": "netpr"}, {"lines": priced}
+    ).join(eligible, ["matnr", "dc"])
+    item = zero_trim("matnr").alias("item")
+    by_item = exact_sums(by_material, [item, "dc"], {"amount": "amount"}, {"lines": "lines"})
+    price = F.col("amount") / F.nullif(F.col("lines"), F.lit(0))
+    return by_item.select("item", "dc", price.alias("unit_price"))
 
 
 def unit_price_ratio(
@@ -102,9 +87,10 @@ def unit_price_ratio(
         & (F.col("shipping_warehouse_id") != 0)
         & (F.col("create_date") >= F.date_sub(F.lit(as_of), days))
     )
+    sums = {"amount": "net_amt", "shipped": "shipped_qty"}
     return (
-        recent.groupBy("sku_id", "shipping_warehouse_id")
-        .agg(div0(exact_sum("net_amt"), exact_sum("shipped_qty")).alias("unit_price"))
+        exact_sums(recent, ["sku_id", "shipping_warehouse_id"], sums)
+        .withColumn("unit_price", div0("amount", "shipped"))
         .join(sku.select("sku_id", "usn").distinct(), "sku_id", "left")
         .select("sku_id", "usn", "shipping_warehouse_id", "unit_price")
     )
@@ -181,14 +167,10 @@ def instock_8w(
     """In-stock units over the last weekly snapshots by (key, warehouse)."""
     days = [as_of - dt.timedelta(days=7 * k) for k in range(weeks)]
     snapshots = calendar.filter(F.col("date_date").isin(*days)).select("fiscal_week_id")
+    kept = weekly.filter(F.col("network") == network).join(snapshots, "fiscal_week_id")
+    sums = {"instock_numerator": "numerator", "instock_denominator": "denominator"}
     return (
-        weekly.filter(F.col("network") == network)
-        .join(snapshots, "fiscal_week_id")
-        .groupBy(key, "warehouse_number")
-        .agg(
-            exact_sum("numerator").alias("instock_numerator"),
-            exact_sum("denominator").alias("instock_denominator"),
-        )
+        exact_sums(kept, [key, "warehouse_number"], sums)
         .withColumn("instock_rate", div0("instock_numerator", "instock_denominator"))
     )
 
@@ -201,12 +183,9 @@ def forecast_window(
     locations = plant.filter(F.col("business_id") == network).select(
         F.col("network_plant_id").alias("skuloc")
     )
-    return (
-        forecast.filter(F.col("startdate").between(F.lit(as_of), F.lit(horizon)))
-        .join(locations, "skuloc")
-        .groupBy(F.col("skuloc").alias("location"), "item")
-        .agg(exact_sum("qty").alias("total_forecasted_qty"))
-    )
+    kept = forecast.filter(F.col("startdate").between(F.lit(as_of), F.lit(horizon)))
+    location = F.col("skuloc").alias("location")
+    return exact_sums(kept.join(locations, "skuloc"), [location, "item"], {"total_forecasted_qty": "qty"})
 
 
 def soq_first_weeks(projections: DataFrame, fiscal_year: str, n: int = 13) -> DataFrame:
@@ -291,9 +270,10 @@ def linehaul(supplier_items: DataFrame, warehouses: DataFrame) -> DataFrame:
         )
         .otherwise("DIR")
     )
+    # repeated lines go before the codes are read and the warehouse is looked up
+    active = supplier_items.filter(F.col("iactv") == 0).select("iitem", "iwhse", "isupv").distinct()
     return (
-        supplier_items.filter(F.col("iactv") == 0)
-        .join(
+        active.join(
             warehouses.select(
                 F.col("warehouse_num_e3").alias("iwhse"),
                 F.col("warehouse_num").alias("destination_plant"),

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.operators.audit import metric_rows
-from tierflow.operators.joins import OLD_ONLY, presence_join
+from tierflow.operators.audit import counted_sides
+from tierflow.operators.joins import BOTH, NEW_ONLY, OLD_ONLY, presence_join
 from tierflow.plans import policy
 
 KEYS = ("jda_item", "jda_loc")
@@ -28,10 +28,18 @@ def merge_runs(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def presence_counts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Merged rows by presence."""
-    return merge_runs(old.select(*KEYS), new.select(*KEYS)).groupBy("presence").agg(
-        F.count(F.lit(1)).alias("rows")
+    """Merged rows by presence, counted by key without a join; a presence without rows is left out."""
+    n = {"old": F.col("old_n"), "new": F.col("new_n")}
+    sizes = counted_sides(old, new, KEYS).select(
+        F.inline(
+            F.array(
+                F.struct(F.lit(BOTH).alias("presence"), (n["old"] * n["new"]).alias("rows")),
+                F.struct(F.lit(OLD_ONLY).alias("presence"), F.when(n["new"] == 0, n["old"]).otherwise(0).alias("rows")),
+                F.struct(F.lit(NEW_ONLY).alias("presence"), F.when(n["old"] == 0, n["new"]).otherwise(0).alias("rows")),
+            )
+        )
     )
+    return sizes.groupBy("presence").agg(F.sum("rows").alias("rows")).where("rows > 0")
 
 
 def _new_forecasted(end: str = "") -> Column:
@@ -90,35 +98,40 @@ def _share(part: Column, whole: Column) -> Column:
     return F.round(part / F.nullif(whole, F.lit(0)) * 100.0, 1)
 
 
-def bucket_shift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sizes of both runs and of their new and forecasted rows, as one row."""
-    runs = _tagged(old, new, "sku_status", "is_forecasted")
-    counts = runs.agg(
+def _bucket_counts() -> list[Column]:
+    return [
         F.count_if(_in("old")).alias("old_rows"),
         F.count_if(_in("new")).alias("new_rows"),
         F.count_if(_in("old") & _new_forecasted()).alias("old_new_forecasted"),
         F.count_if(_in("new") & _new_forecasted()).alias("new_new_forecasted"),
-    )
+    ]
+
+
+def _bucket_changes() -> dict[str, Column]:
     net = F.col("new_new_forecasted") - F.col("old_new_forecasted")
-    return counts.withColumns(
-        {
-            "net_rows": F.col("new_rows") - F.col("old_rows"),
-            "net_new_forecasted": net,
-            "pct_new_forecasted": _share(net, F.col("old_new_forecasted")),
-        }
-    )
+    return {
+        "net_rows": F.col("new_rows") - F.col("old_rows"),
+        "net_new_forecasted": net,
+        "pct_new_forecasted": _share(net, F.col("old_new_forecasted")),
+    }
+
+
+def bucket_shift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sizes of both runs and of their new and forecasted rows, as one row."""
+    runs = _tagged(old, new, "sku_status", "is_forecasted")
+    return runs.agg(*_bucket_counts()).withColumns(_bucket_changes())
+
+
+def _tier_totals() -> list[Column]:
+    tier = F.col("new_proposed_velocity")
+    return [F.count_if(_in(run) & (tier == t)).alias(f"{run}_{t}") for run in ("old", "new") for t in TIERS]
 
 
 def tier_dist(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows per tier in both runs, zeros included, and over all rows."""
-    tier = F.col("new_proposed_velocity")
     runs = _tagged(old, new, "new_proposed_velocity")
     totals = runs.agg(
-        *[
-            F.count_if(_in(run) & (tier == t)).alias(f"{run}_{t}")
-            for run in ("old", "new")
-            for t in TIERS
-        ],
+        *_tier_totals(),
         F.count_if(_in("old")).alias("old_Total"),
         F.count_if(_in("new")).alias("new_Total"),
     )
@@ -163,15 +176,13 @@ def transition_breakdown(cohort: DataFrame) -> DataFrame:
     return filled.filter(F.col("record_count") > 0)
 
 
+def _transition_counts() -> list[Column]:
+    return [F.count_if(F.col("transition") == name).alias(f"t{i}") for i, name in enumerate(policy.TRANSITIONS)]
+
+
 def transition_summary(cohort: DataFrame) -> DataFrame:
     """Rows and share per transition, zeros included."""
-    totals = cohort.agg(
-        F.count(F.lit(1)).alias("all_rows"),
-        *[
-            F.count_if(F.col("transition") == name).alias(f"t{i}")
-            for i, name in enumerate(policy.TRANSITIONS)
-        ],
-    )
+    totals = cohort.agg(F.count(F.lit(1)).alias("all_rows"), *_transition_counts())
     labels = {f"t{i}": name for i, name in enumerate(policy.TRANSITIONS)}
     return _shares(totals, labels, "transition", "record_count")
 
@@ -202,88 +213,73 @@ def new_tier_dist(moved: DataFrame) -> DataFrame:
     return _shares(totals, {t: t for t in TIERS}, "velocity", "record_count")
 
 
+STOCK = {
+    "old_proposed_ss": "proposed_safety_stock_old",
+    "new_proposed_ss": "proposed_safety_stock_new",
+    "old_ss_change_dollars": "safety_stock_change_dollars_old",
+    "new_ss_change_dollars": "safety_stock_change_dollars_new",
+}
+
+
+def _stock_totals(where: Column | None = None) -> list[Column]:
+    """Rounded totals of the stock columns, of the rows that meet the condition."""
+    taken = lambda c: F.col(c) if where is None else F.when(where, F.col(c))
+    return [F.round(F.coalesce(F.sum(taken(c)), F.lit(0.0)), 2).alias(name) for name, c in STOCK.items()]
+
+
+def _stock_delta() -> Column:
+    return F.round(F.col("new_proposed_ss") - F.col("old_proposed_ss"), 2)
+
+
 def ss_impact(moved: DataFrame) -> DataFrame:
     """Proposed stock and stock-change dollars of the transitioned rows, as one row."""
-
-    def total(name: str) -> Column:
-        return F.round(F.coalesce(F.sum(name), F.lit(0.0)), 2)
-
-    return moved.agg(
-        total("proposed_safety_stock_old").alias("old_proposed_ss"),
-        total("proposed_safety_stock_new").alias("new_proposed_ss"),
-        total("safety_stock_change_dollars_old").alias("old_ss_change_dollars"),
-        total("safety_stock_change_dollars_new").alias("new_ss_change_dollars"),
-    ).withColumn(
-        "ss_delta", F.round(F.col("new_proposed_ss") - F.col("old_proposed_ss"), 2)
-    )
+    return moved.agg(*_stock_totals()).withColumn("ss_delta", _stock_delta())
 
 
 def exec_summary(old: DataFrame, new: DataFrame, cohort: DataFrame) -> DataFrame:
-    """All totals as (section, metric, value, detail) rows, numbers kept as numbers."""
-    moved = transitioned(cohort)
+    """All totals as (section, metric, value, detail) rows, numbers kept as numbers.
+
+    One aggregate over both runs gives their sizes, buckets and tiers, and one over
+    the cohort its transitions, new tiers and stock. The reasons, whose number is open, are
+    grouped in a second pass over the runs.
+    """
     none = F.lit(None).cast("double")
 
-    def rows(df: DataFrame, section: str, metric: Column, value: str, detail: Column) -> DataFrame:
-        return df.select(
-            F.lit(section).alias("section"),
-            metric.alias("metric"),
-            F.col(value).cast("double").alias("value"),
-            detail.cast("double").alias("detail"),
-        )
+    def line(section: str, metric: str, value: Column, detail: Column = none) -> dict[str, Column]:
+        return {"section": F.lit(section), "metric": F.lit(metric), "value": value.cast("double"), "detail": detail.cast("double")}
 
-    shift = bucket_shift(old, new)
-    sizes = metric_rows(shift.select("old_rows", "new_rows", "net_rows"))
-    pct = F.when(F.col("metric") == "net_new_forecasted", F.col("pct_new_forecasted"))
-    buckets = shift.unpivot(
-        "pct_new_forecasted",
-        ["old_new_forecasted", "new_new_forecasted", "net_new_forecasted"],
-        "metric",
-        "value",
-    )
-    stock = metric_rows(
-        ss_impact(moved).select(
-            "old_proposed_ss",
-            "new_proposed_ss",
-            "ss_delta",
-            "old_ss_change_dollars",
-            "new_ss_change_dollars",
-        )
-    )
-    metric, share = F.col("metric"), F.col("pct_of_total")
-    parts = [
-        rows(sizes, "Universe Overview", metric, "value", none),
-        rows(buckets, "New+Forecasted Bucket Shift", metric, "value", pct),
-        rows(
-            transition_summary(cohort),
-            "Transition Breakdown",
-            F.col("transition"),
-            "record_count",
-            share,
-        ),
-        rows(
-            new_tier_dist(moved),
-            "Velocity Assignments for Transitioned Records",
-            F.col("velocity"),
-            "record_count",
-            share,
-        ),
-        rows(stock, "Safety Stock Impact", metric, "value", none),
-        rows(
-            tier_dist(old, new),
-            "Full Velocity Distribution Comparison",
-            F.col("velocity"),
-            "old_count",
-            F.col("new_count"),
-        ),
-        rows(
-            reason_dist(old, new),
-            "Velocity Reason Distribution Comparison",
-            F.col("velocity_reason"),
-            "old_count",
-            F.col("new_count"),
-        ),
+    def share(part: str, whole: str) -> Column:
+        return F.coalesce(_share(F.col(part), F.col(whole)), F.lit(0.0))
+
+    runs = _tagged(old, new, "sku_status", "is_forecasted", "new_proposed_velocity")
+    sizes = runs.agg(*_bucket_counts(), *_tier_totals()).withColumns(_bucket_changes())
+    tiers = [(t, F.col(f"old_{t}"), F.col(f"new_{t}")) for t in TIERS]
+    of_runs = [
+        *[line("Universe Overview", c, F.col(c)) for c in ("old_rows", "new_rows", "net_rows")],
+        *[line("New+Forecasted Bucket Shift", c, F.col(c)) for c in ("old_new_forecasted", "new_new_forecasted")],
+        line("New+Forecasted Bucket Shift", "net_new_forecasted", F.col("net_new_forecasted"), F.col("pct_new_forecasted")),
+        *[line("Full Velocity Distribution Comparison", t, a, b) for t, a, b in (*tiers, ("Total", F.col("old_rows"), F.col("new_rows")))],
+    ]
+    moved = F.coalesce(F.col("transition") == policy.TO_RANKED, F.lit(False))
+    totals = cohort.agg(
+        F.count(F.lit(1)).alias("all_rows"),
+        F.count_if(moved).alias("moved_rows"),
+        *_transition_counts(),
+        *[F.count_if(moved & (F.col("new_proposed_velocity_new") == t)).alias(f"moved_{t}") for t in TIERS],
+        *_stock_totals(moved),
+    ).withColumn("ss_delta", _stock_delta())
+    of_cohort = [
+        *[line("Transition Breakdown", name, F.col(f"t{i}"), share(f"t{i}", "all_rows")) for i, name in enumerate(policy.TRANSITIONS)],
+        *[line("Velocity Assignments for Transitioned Records", t, F.col(f"moved_{t}"), share(f"moved_{t}", "moved_rows")) for t in TIERS],
+        *[line("Safety Stock Impact", c, F.col(c)) for c in (*STOCK, "ss_delta")],
     ]
-    return reduce(DataFrame.unionByName, parts)
+    reasons = reason_dist(old, new).select(
+        F.lit("Velocity Reason Distribution Comparison").alias("section"),
+        F.col("velocity_reason").alias("metric"),
+        F.col("old_count").cast("double").alias("value"),
+        F.col("new_count").cast("double").alias("detail"),
+    )
+    return _lines(sizes, of_runs).unionByName(_lines(totals, of_cohort)).unionByName(reasons)
 
 
 # ---- detail and its summaries ---------------------------------------------------------------

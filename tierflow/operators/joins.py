@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BOTH, OLD_ONLY, NEW_ONLY = "both", "old_only", "new_only"
@@ -57,3 +59,37 @@ def lookup_join(df: DataFrame, lookups: list[DataFrame], keys: tuple[str, ...])
         right = lookup.withColumn("null_spread", F.lit(0).cast("long"))
         rows = rows.join(right, [*keys, "null_spread"], "left")
     return rows.drop("null_spread")
+
+
+def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row per key, the first by the order; null keys are a key like any other.
+
+    Spark keeps the first row of each key in every task before the shuffle, so a busy key
+    never fills a task. Rows that are equal in the whole order are interchangeable.
+    """
+    place = F.row_number().over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def repeated(df: DataFrame, times: str, at_once: int = 1 << 16) -> DataFrame:
+    """Each row as often as its column ``times`` says, without that column.
+
+    Copies are dealt out in blocks of ``at_once``, so no array grows with the count.
+    """
+    n = F.col(times)
+    blocks = F.expr(f"sequence(0L, ({times} - 1) div {at_once})")
+    df = df.where(n > 0).withColumn("__block", F.explode(blocks))
+    inside = F.least(F.lit(at_once).cast("long"), n - F.col("__block") * at_once)
+    return df.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), inside))).drop(times, "__block", "__copy")
+
+
+def few_valued_join(df: DataFrame, lookup: DataFrame, keys: tuple[str, ...], salts: int = 32) -> DataFrame:
+    """Left join to a lookup whose key takes few values, each of which may fill a task.
+
+    Each row draws one of ``salts`` numbers by a hash of its values, and the lookup holds its
+    rows once for each number, so any one key, or no key, is dealt out over that many tasks.
+    A lookup that Spark finds small enough is broadcast as ever.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
+    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("__salt", salt).join(copies, [*keys, "__salt"], "left").drop("__salt")

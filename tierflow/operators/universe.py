@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tierflow.functions import div0null, zero_trim
 from tierflow.operators import dims
+from tierflow.operators.joins import few_valued_join, lookup_join
 from tierflow.plans import policy
 from tierflow.plans.params import NetworkPolicy, TierParams
 
@@ -423,68 +424,46 @@ def with_material_lookups(
         ).alias("prodcat_key"),
         "merchant",
     )
-    return (
-        rows.join(
-            t["category_xref"].select(
-                F.col("mcat_id").alias("category_id"), F.col("mcat_id").alias("known_category")
-            ),
-            "category_id",
-            "left",
-        )
-        .join(dims.vendor_team(t["vendor_team"]), "vendor", "left")
-        .join(
-            t["atp"].select(F.col("werks").alias("dc"), "matnr", F.col("atp_qty")),
-            ["dc", "matnr"],
-            "left",
-        )
-        .join(
-            hierarchy.select(F.col("werks").alias("dc"), F.col("svcg_linehaul").alias("linehaul")),
-            "dc",
-            "left",
-        )
-        .join(
-            t["atp"].select(
-                F.col("werks").alias("linehaul"), "matnr", F.col("atp_qty").alias("linehaul_atp_qty")
-            ),
-            ["linehaul", "matnr"],
-            "left",
-        )
-        .join(
-            t["instock_view"].select(
-                F.col("werks").alias("dc"), zero_trim("matnr").alias("item"), "instock_units"
-            ),
-            ["dc", "item"],
-            "left",
-        )
-        .join(
-            t["catalogue_plan"].select("dc", F.col("material").alias("item"), "plan_code"),
-            ["dc", "item"],
-            "left",
-        )
-        .join(
-            t["atlas"].select(
-                F.col("plant").alias("linehaul"),
-                zero_trim("material").alias("item"),
-                F.col("vendor").alias("linehaul_vendor"),
-            ),
-            ["linehaul", "item"],
-            "left",
-        )
-        .join(alignment, "prodcat_key", "left")
-        .select(
-            "dc",
-            "item",
-            "known_category",
-            "inventory_analyst",
-            "manager",
-            "atp_qty",
-            "linehaul",
-            "linehaul_atp_qty",
-            "instock_units",
-            "plan_code",
-            "linehaul_vendor",
-            "merchant",
-        )
+    known = t["category_xref"].select(
+        F.col("mcat_id").alias("category_id"), F.col("mcat_id").alias("known_category")
+    )
+    feeders = hierarchy.select(F.col("werks").alias("dc"), F.col("svcg_linehaul").alias("linehaul"))
+    # keys of few values: a vendor, category or dc may hold a great share of the catalogue
+    rows = few_valued_join(rows, known, ("category_id",))
+    rows = few_valued_join(rows, dims.vendor_team(t["vendor_team"]), ("vendor",))
+    rows = few_valued_join(rows, alignment, ("prodcat_key",))
+    rows = few_valued_join(rows, feeders, ("dc",))
+    # then one group of lookups per key set, so that each set is one shuffle of the rows
+    stock = t["atp"].select(F.col("werks").alias("dc"), "matnr", "atp_qty")
+    units = t["instock_view"].select(
+        F.col("werks").alias("dc"), zero_trim("matnr").alias("item"), "instock_units"
+    )
+    plans = t["catalogue_plan"].select("dc", F.col("material").alias("item"), "plan_code")
+    far_stock = t["atp"].select(
+        F.col("werks").alias("linehaul"), "matnr", F.col("atp_qty").alias("linehaul_atp_qty")
+    )
+    far_vendor = t["atlas"].select(
+        F.col("plant").alias("linehaul"),
+        zero_trim("material").alias("item"),
+        F.col("vendor").alias("linehaul_vendor"),
+    )
+    rows = lookup_join(rows, [stock], ("dc", "matnr"))
+    rows = lookup_join(rows, [units, plans], ("dc", "item"))
+    rows = lookup_join(rows, [far_stock], ("linehaul", "matnr"))
+    rows = lookup_join(rows, [far_vendor], ("linehaul", "item"))
+    return rows.select(
+        "dc",
+        "item",
+        "known_category",
+        "inventory_analyst",
+        "manager",
+        "atp_qty",
+        "linehaul",
+        "linehaul_atp_qty",
+        "instock_units",
+        "plan_code",
+        "linehaul_vendor",
+        "merchant",
     )
 
 
@@ -514,34 +493,25 @@ def with_usn_lookups(
     merchants = t["category_ref"].filter(
         (F.col("source") == net.network) & F.col("is_current")
     ).select(F.trim(F.upper("material_level2_code")).alias("level2"), "dmm").distinct()
-    return (
-        assortment.join(
-            t["storage_type"].select(
-                "usn", F.col("warehouse_num").alias("warehouse_number"), "storage_type"
-            ),
-            ["usn", "warehouse_number"],
-            "left",
-        )
-        .join(routes, ["usn", "warehouse_number"], "left")
-        .join(sources, ["usn", "source_plant"], "left")
-        .join(t["sku"].select("usn", "sku_id", "taxonomy_id"), "usn")
-        .join(taxonomy, "taxonomy_id")
-        .join(
-            t["category_xref"].select(
-                F.col("mcat_id").alias("category_id"), F.col("mcat_id").alias("known_category")
-            ),
-            "category_id",
-            "left",
-        )
-        .join(merchants, "level2", "left")
-        .select(
-            "usn",
-            "warehouse_number",
-            "sku_id",
-            "storage_type",
-            "source_plant",
-            "source_category",
-            "known_category",
-            "dmm",
-        )
+    known = t["category_xref"].select(
+        F.col("mcat_id").alias("category_id"), F.col("mcat_id").alias("known_category")
+    )
+    kinds = t["storage_type"].select("usn", F.col("warehouse_num").alias("warehouse_number"), "storage_type")
+    # what hangs on a sku alone is looked up once per sku, not once per assortment row
+    goods = t["sku"].select("usn", "sku_id", "taxonomy_id")
+    goods = few_valued_join(goods, taxonomy.withColumn("has_taxonomy", F.lit(True)), ("taxonomy_id",))
+    goods = goods.where("has_taxonomy")
+    goods = few_valued_join(goods, known, ("category_id",))
+    goods = few_valued_join(goods, merchants, ("level2",)).select("usn", "sku_id", "known_category", "dmm")
+    rows = lookup_join(assortment, [kinds, routes], ("usn", "warehouse_number"))
+    rows = lookup_join(rows, [sources], ("usn", "source_plant"))
+    return rows.join(goods, "usn").select(
+        "usn",
+        "warehouse_number",
+        "sku_id",
+        "storage_type",
+        "source_plant",
+        "source_category",
+        "known_category",
+        "dmm",
     )

@@ -679,7 +679,65 @@ def _(spark, sf_dir):
         'item,loc,udc_purch_uom,udc_velocity_code,udc_pir_cost' as column_names from extract""",
 )
 def _(spark, sf_dir):
-    return registry.profile(material_tables(spark, sf_dir)["extract"])
+    return registry.profile(material_tables(spark, sf_dir)["extract"]).drop("first_rows")
+
+
+@register(
+    "input_head",
+    """select row_number() over ()::int as place, p_partkey, p_name, p_retailprice,
+        (select count(*) from part) as rows from (from part limit 5)""",
+)
+def _(spark, sf_dir):
+    """First rows of an input beside its size, in one pass."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_retailprice")
+    seen = registry.profile(part).select("rows", F.posexplode("first_rows").alias("at", "row"))
+    return seen.select((F.col("at") + 1).alias("place"), "row.*", "rows")
+
+
+@register(
+    "quoted_round_trip",
+    """select jda_item as "JDA_ITEM", jda_loc as "JDA_LOC", new_proposed_velocity as "PROPOSED_VELOCITY",
+        'line' || chr(10) || '"two", ' || sku_description || chr(13) || chr(10) || 'C:\\x ' as "NOTE"
+       from o_analysis_after""",
+)
+def _(spark, sf_dir):
+    """Texts with line breaks, quotes, commas and blanks, written as CSV and read back."""
+    path = registry.scratch_path(spark, "notes")
+    note = F.concat(F.lit('line\n"two", '), "sku_description", F.lit("\r\nC:\\x "))
+    rows = analysis_of(spark, sf_dir, "after").select(
+        F.col("jda_item").alias("JDA_ITEM"),
+        F.col("jda_loc").alias("JDA_LOC"),
+        F.col("new_proposed_velocity").alias("PROPOSED_VELOCITY"),
+        note.alias("NOTE"),
+    )
+    sinks.write_delta(rows, path)
+    return uploads.read_upload(spark, path).select("JDA_ITEM", "JDA_LOC", "PROPOSED_VELOCITY", "NOTE")
+
+
+@register("no_tier_round_trip", f"select * from ({_UPLOAD_SQL}) where false")
+def _(spark, sf_dir):
+    """A tier export without any row of the five tiers, read back."""
+    path = registry.scratch_path(spark, "no-tiers")
+    rows = output.upload_rows(output.changes(analysis_of(spark, sf_dir, "after"), AS_OF))
+    sinks.write_by_tier(rows.withColumn("proposed_velocity", F.lit(policy.MISSING_TIER)), path)
+    return uploads.read_by_tier(spark, path)
+
+
+@register(
+    "table_overwrite",
+    """select jda_item, jda_loc, new_proposed_velocity, 2 as version from o_analysis_after
+       where new_proposed_velocity <> system_velocity""",
+)
+def _(spark, sf_dir):
+    """A table replaced twice, the second time by rows read from itself."""
+    path = registry.scratch_path(spark, "derived-table")
+    rows = analysis_of(spark, sf_dir, "after").select("jda_item", "jda_loc", "new_proposed_velocity", "system_velocity")
+    sinks.write_table(rows, "", path)
+    changed = spark.read.parquet(path).where("new_proposed_velocity <> system_velocity")
+    sinks.write_table(changed.withColumn("version", F.lit(1)), "", path)
+    again = spark.read.parquet(path).withColumn("version", F.col("version") + 1)
+    sinks.write_table(again, "", path)
+    return spark.read.parquet(path).drop("system_velocity")
 
 
 # ---- audit --------------------------------------------------------------------------------------
@@ -731,6 +789,20 @@ def _(spark, sf_dir):
     return audit.diff_summary(upload_of(spark, sf_dir, "before"), upload_of(spark, sf_dir, "after"))
 
 
+@register(
+    "diff_report",
+    """select "JDA_ITEM", "JDA_LOC", nullif(proposed_velocity_old, '') as proposed_velocity_old,
+        nullif(proposed_velocity_new, '') as proposed_velocity_new, presence
+       from o_diff""",
+)
+def _(spark, sf_dir):
+    """The whole diff run: changed rows and counts written as a report, and the rows read back."""
+    directory = registry.scratch_path(spark, "diff-report")
+    old, new = upload_of(spark, sf_dir, "before"), upload_of(spark, sf_dir, "after")
+    sinks.write_report(runs.diff_report(old, new), directory)
+    return uploads.read_sheet(spark, directory, "changes")
+
+
 @register("latest_state", "select * from o_state")
 def _(spark, sf_dir):
     return audit.latest_state(uploads.as_state(material_tables(spark, sf_dir)["state_report"]))

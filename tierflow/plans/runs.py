@@ -104,3 +104,12 @@ def validation_report(upload: DataFrame, current: DataFrame) -> dict[str, DataFr
         "Velocity Validation": validated,
         "Summary": audit.validation_summary(validated),
     }
+
+
+def diff_report(old: DataFrame, new: DataFrame) -> dict[str, DataFrame]:
+    """Result sets of the diff of two uploads: changed rows in report order, and the counts."""
+    before, after = as_upload(old), as_upload(new)
+    return {
+        "changes": audit.sorted_diff(audit.diff_uploads(before, after)),
+        "summary": audit.metric_rows(audit.diff_summary(before, after)),
+    }

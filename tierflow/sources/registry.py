@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tierflow.sources import files
+
 Source = str | Mapping[str, Any] | DataFrame | Callable[[], DataFrame]
 
 
@@ -71,11 +74,11 @@ def staging_dir(spark: SparkSession) -> str | None:
     return folder.rstrip("/") if folder else None
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path in the shared folder.
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared folder, deleted when the application ends.
 
-    Where none is set, a local session, as in tests, gets one; on a cluster that is an
-    error, since executors do not see each other's disks.
+    Where no shared folder is set, a local session, as in tests, gets one; on a cluster that
+    is an error, since executors do not see each other's disks.
     """
     folder = staging_dir(spark)
     if folder is None:
@@ -84,7 +87,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tierflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    own = files.qualified(spark, f"{folder}/tierflow-{spark.sparkContext.applicationId}")
+    if own not in _owned:
+        files.remove_at_exit(spark, own)
+        _owned.add(own)
+    return own
+
+
+_owned: set[str] = set()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path in the application's scratch folder."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for held in _scopes:
+        held.append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, what is staged inside: for a run whose result is written by then."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for path in held:
+            files.remove(spark, path)
+        for key in [k for k, (path, _) in _written.items() if path in held]:
+            del _written[key]
 
 
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
@@ -119,16 +155,29 @@ def written_once(
     return spark.read.schema(schema).parquet(path)
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Row count, column count and column names of an input."""
-    return df.agg(F.count(F.lit(1)).alias("rows")).withColumns(
-        {
-            "columns": F.lit(len(df.columns)),
-            "column_names": F.lit(",".join(df.columns)),
-        }
+def profile(df: DataFrame, n: int = 5) -> DataFrame:
+    """Row count, column count, column names and the first n rows of an input, in one pass.
+
+    ``first_rows`` holds them in the order of Spark's partitions, which is the order of the
+    files and of the rows in them. Each task passes on a count and n rows at most.
+    """
+    position = F.monotonically_increasing_id()
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), position.alias("at"))
+    early = F.when(F.col("at").bitwiseAND((1 << 33) - 1) < n, F.struct("at", "row"))
+    parts = whole.groupBy(F.shiftright("at", 33).alias("part")).agg(
+        F.count(F.lit(1)).alias("rows"), F.collect_list(early).alias("early")
+    )
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("early"))), 1, n)
+    totals = parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), first.alias("first"))
+    return totals.select(
+        "rows",
+        F.lit(len(df.columns)).alias("columns"),
+        F.lit(",".join(df.columns)).alias("column_names"),
+        F.transform("first", lambda x: x["row"]).alias("first_rows"),
     )
 
 
 def head(df: DataFrame, n: int = 5) -> DataFrame:
-    """First rows of an input, for the eye."""
-    return df.limit(n)
+    """First rows of an input with their place, from 1 on."""
+    rows = profile(df, n).select(F.posexplode("first_rows").alias("at", "row"))
+    return rows.select((F.col("at") + 1).alias("place"), "row.*")

@@ -6,16 +6,32 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tierflow.functions import text
 from tierflow.plans import policy
+from tierflow.sources import files
 
 
-def read_text_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """CSV with a header, or another format cast to text; nothing is inferred."""
+def read_text_table(
+    spark: SparkSession, path: str, fmt: str = "csv", line_breaks: bool = True
+) -> DataFrame:
+    """CSV with a header, or another format cast to text; nothing is inferred.
+
+    A quoted value may hold line breaks; such a file is read by one task (the parts that
+    the sinks write are bounded). With ``line_breaks=False`` files are split, for
+    large foreign files without such values. A dataset of the sinks is read by the
+    columns of its manifest, also where it has no rows.
+    """
+    kept = files.read_manifest(spark, path)
+    reader = spark.read
     if fmt == "csv":
-        return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
-    df = spark.read.format(fmt).load(path)
+        reader = reader.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=line_breaks)
+        if kept is not None:
+            names = StructType([StructField(f.name, StringType()) for f in kept])
+            return reader.schema(names).option("lineSep", "\n").csv(path)
+        return reader.csv(path)
+    df = (reader if kept is None else reader.schema(kept)).format(fmt).load(path)
     return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
