@@ -179,10 +179,9 @@ def _order_value(column: Column, kind: str) -> Column:
 def latest_state(report: DataFrame, seq: str = "seq") -> DataFrame:
     """Last row per (item, dc) by ``seq``, which the report must carry; nulls come first.
 
-    ``seq`` is a number, a date or a time, or text of these. The greatest of each key is
-    found by a hash aggregate that holds the order value alone; only rows that have it meet
-    by key again. Rows of equal ``seq`` fall back on their other columns, so the
-    answer does not change from run to run.
+    ``seq`` is a number, a date or a time, or text of these. Rows of equal ``seq`` fall back
+    on their other columns, so the answer does not change from run to run. Each task first
+    keeps the last row of each of its keys; these few meet by key after the shuffle.
     """
     if seq not in report.columns:
         raise ValueError(f"the report has no order column {seq!r}")
@@ -190,15 +189,8 @@ def latest_state(report: DataFrame, seq: str = "seq") -> DataFrame:
     rest = [c for c in report.columns if c not in (*keys, seq)]
     order = _order_value(F.col(f"`{seq}`"), dict(report.dtypes)[seq])
     rows = report.select(*[F.col(f"`{c}`") for c in (*keys, *rest)], order.alias("__order"))
-    named = [F.col(f"`{k}`") for k in keys]
-    last = rows.groupBy(*named).agg(F.max("__order").alias("__last"))
-    last = last.select(*[k.alias(f"__key{i}") for i, k in enumerate(named)], "__last")
-    # an equal value per key and order: a busy key is dealt out by its order values
-    same = F.col("__order").eqNullSafe(F.col("__last"))
-    for i, k in enumerate(named):
-        same = same & k.eqNullSafe(F.col(f"__key{i}"))
-    kept = rows.join(last, same).select(*named, *[F.col(f"`{c}`") for c in rest])
-    return first_row(kept, keys, [F.col(f"`{c}`").desc_nulls_last() for c in rest] or [F.lit(1)])
+    last = [F.col(c).desc_nulls_last() for c in ("__order", *(f"`{c}`" for c in rest))]
+    return first_row(rows, keys, last).drop("__order")
 
 
 def apply_status(recommendations: DataFrame, state: DataFrame) -> DataFrame:
