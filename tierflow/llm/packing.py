@@ -2,8 +2,10 @@
 
 A document of n tokens is cut into whole sequences of the longest length and then into
 the binary digits of the rest, longest first. Every piece is a sequence of its own whose
-length is a power of two, so no sequence crosses documents and none needs padding;
-`batches` puts sequences of equal length together. Nothing is shuffled.
+length is a power of two, so no sequence crosses documents and none needs padding. Each
+task deals its sequences into buckets of equal length, BUCKET_TOKENS tokens to a bucket:
+`bucket` names it, `place` is the sequence's row in it. Only the last bucket of a length
+in a task may hold fewer. Nothing is shuffled; `batches` deals other sizes afterwards.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows and
 ids are packed row by row; null ids pass through; extra columns are ignored; an empty
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -31,6 +34,7 @@ END_ID = 1
 #: Above this many characters `tokenizers` encodes the text: tiktoken recurses over it.
 LONG_TEXT = 200_000
 TEXTS_AT_ONCE = 256
+BUCKET_TOKENS = 1 << 19
 
 
 @cache
@@ -63,12 +67,13 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
 
 def _pieces(vocabulary: str, longest: int, with_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        sequence, held = task << 40, Counter()
         kind = pa.list_(pa.int32())
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
-                doc, start, length, crc, total, ids_out = [], [], [], [], [], []
+                doc, start, length, crc, total, ids_out, bucket, place = [], [], [], [], [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     ids = np.append(encode(text or "", vocabulary), np.uint32(END_ID)).astype("<u4")
                     done = 0
@@ -79,12 +84,16 @@ def _pieces(vocabulary: str, longest: int, with_ids: bool):
                         total.append(len(ids))
                         piece = ids[done : done + n]
                         crc.append(zlib.crc32(piece.tobytes()))
+                        number, row = divmod(held[n], max(1, BUCKET_TOKENS // n))
+                        bucket.append(f"{task}-{n}-{number}")
+                        place.append(row)
+                        held[n] += 1
                         if with_ids:
                             ids_out.append(piece.astype(np.int32))
                         done += n
                 n = len(doc)
-                columns = [part.column(0).take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(np.arange(sequence, sequence + n), pa.int64()), pa.array(np.zeros(n, np.int64))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                columns = [part.column(0).take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(np.arange(sequence, sequence + n), pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(bucket, pa.string()), pa.array(place, pa.int64())]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "place"]
                 if with_ids:
                     columns, names = [*columns, pa.array(ids_out, kind)], [*names, "ids"]
                 sequence += n
@@ -94,11 +103,11 @@ def _pieces(vocabulary: str, longest: int, with_ids: bool):
 
 
 def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", longest: int = LONGEST, with_ids: bool = True) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, place, ids."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket string, place long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(vocabulary, longest, with_ids), schema)
 
 
