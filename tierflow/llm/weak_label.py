@@ -7,8 +7,8 @@ how often each labeller is right when it votes, without any true label. The post
 of a pattern is the soft label of its documents.
 
 A linear scorer over hashed three-byte grams (share of each bucket in the text) is then
-fitted to the posteriors of a sample, by logistic loss. `SAMPLE` bounds the rows it is
-fitted on; votes, patterns, posteriors and scores cover all documents and whole texts.
+fitted to the posteriors of a sample, by logistic loss. `SAMPLE` bounds the different
+texts it is fitted on, each taken once; votes, patterns, posteriors and scores cover all documents and whole texts.
 
 Defined results: a null text counts as empty; it gets the posterior of its votes and the
 score of the bias alone; rows are judged one by one, so repeated rows and ids and null ids
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tierflow.llm.quality_rules import STOP_WORDS, SYMBOLS
 from tierflow.llm.words import lowered, sliced, text_bytes, word_hashes
 
-#: Most rows that the scorer is fitted on.
+#: Most different texts that the scorer is fitted on.
+#: Their features, at most 128 KB each and mostly a tenth of that, are collected to the driver.
 SAMPLE = 4_000
 BUCKET_BITS = 14
 GRAM = 3
@@ -161,16 +162,22 @@ def _linear(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(1, np.diff(places)) + bias, -50, 50)))
 
 
-def _pattern_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pattern_of_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in sliced(whole, 0, _CHUNK):
-            p, n = np.unique(patterns(b.column(0)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], ["pattern", "n"])
+        for b in sliced(whole, 1, _CHUNK):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(patterns(b.column(1)))], ["h", "pattern"])
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pattern and bucket shares of each different text of a task; h is the hash of the text."""
+    seen: set[int] = set()
     for whole in batches:
         for b in sliced(whole, 1, _CHUNK):
+            new = []
+            for h in b.column(0).to_pylist():
+                new.append(h not in seen)
+                seen.add(h)
+            b = b.filter(pa.array(new, pa.bool_()))
             data, borders = text_bytes(b.column(1))
             bucket, places = _buckets(data, borders)
             both = [np.unique(bucket[i:j], return_counts=True) for i, j in zip(places[:-1].tolist(), places[1:].tolist())]
@@ -189,21 +196,23 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Count patterns over all documents, run EM, fit the scorer on at most `sample` rows."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_pattern_counts, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    """Count texts by pattern over all documents, run EM, fit the scorer on at most `sample` texts."""
+    texts = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.col("text").cast("string").alias("text"))
+    each = texts.mapInArrow(_pattern_of_each, "h long, pattern long")
+    found = each.groupBy("pattern").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy("pattern").collect()
     pattern, counts = np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], float)
     good, share, accuracies = posteriors(pattern, counts)
     posterior = dict(zip(pattern.tolist(), good.tolist()))
     weights, bias = np.zeros(1 << BUCKET_BITS), float(np.log(share / (1 - share)))
     n = counts.sum()
     if n:
-        # A fixed hash of the text picks the rows; the smallest hashes stay if they are too many.
+        # A fixed hash of the text picks the texts; the smallest hashes stay if they are too many.
         part = min(1.0, 1.2 * sample / n)
-        hashed = texts.select(F.xxhash64("text").alias("h"), "text")
+        hashed = texts
         if part < 1:
             hashed = hashed.where(F.col("h") <= int(part * (1 << 64)) - (1 << 63))
-        rows = hashed.mapInArrow(_features, "h long, pattern long, buckets binary, shares binary").orderBy("h", "pattern").limit(sample).collect()
+        own = hashed.mapInArrow(_features, "h long, pattern long, buckets binary, shares binary").dropDuplicates(["h"])
+        rows = own.orderBy("h").limit(sample).collect()
         weights, bias = _fitted([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.shares, "<f4"), posterior.get(r.pattern, share)) for r in rows], bias)
     return Model(posterior, weights, bias, share, accuracies)
 
