@@ -13,28 +13,49 @@ from tierflow.llm.shared import stored
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the threshold table."""
+    """Documents that pass the threshold table.
+
+    A null or empty text has no words and goes; repeated rows and ids are judged one by one;
+    other columns, whatever their names, pass through; an empty table stays empty.
+    """
     return quality_rules.apply_rules(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the scorer, fitted to weak labels of these documents, keeps."""
+    """Documents that the scorer, fitted to weak labels of these documents, keeps.
+
+    A null text counts as empty and has the score of the bias alone; repeated texts count
+    once in the fit and are judged alike; other columns pass through; an empty table stays
+    empty. A score at the threshold is kept.
+    """
     return weak_label.kept_only(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one of the smallest id, null ids last.
+
+    Of several rows with that id one stays; texts without words all stay; other columns pass
+    through; an empty table stays empty.
+    """
     return hyperminhash.deduplicated(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, up to three times.
+
+    Null sources are one source; repeated rows and ids are documents of their own; a null text
+    has no words and adds none; other columns pass through; an empty table stays empty.
+    """
     return systematic_mix.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents as sequences of a power of two tokens."""
-    return packing.report(docs)
+    """Sequences of a power of two token ids, in buckets of equal length.
+
+    A null text has the end id alone; copies are packed one by one; other columns are left
+    out; an empty table gives no sequences.
+    """
+    return packing.packed(docs)
 
 
 STAGES = [
