@@ -36,6 +36,8 @@ from tierflow.llm.shared import new_folder
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 8 << 20
+#: Ranges are dealt to this many tasks at most; a task reads its ranges one by one.
+MOST_TASKS = 100_000
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 18
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,12 +110,12 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, fil
     return [(r.path, r.bytes) for r in written.collect()]
 
 
-def splits(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT) -> DataFrame:
+def splits(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT, most_tasks: int = MOST_TASKS) -> DataFrame:
     """path, start and end of every byte range, spread over tasks."""
     df = spark.createDataFrame([(p, n) for p, n in files if n], "path string, bytes long")
     ranges = df.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
     n = max(1, sum(-(-b // split) for _, b in files))
-    return ranges.select("path", "start", F.least("bytes", F.col("start") + split).alias("end"), "bytes").repartition(min(n, 4096), "path", "start")
+    return ranges.select("path", "start", F.least("bytes", F.col("start") + split).alias("end"), "bytes").repartition(min(n, most_tasks), "path", "start")
 
 
 def list_archives(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
@@ -171,7 +173,12 @@ def _parsed(content: bytes) -> tuple[dict[str, str], bytes] | None:
 
 
 def records_in(window: _Window, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and block of the records that start in [start, end)."""
+    """Offset, headers and block of the records that start in [start, end).
+
+    Empty headers mark a place where a record should begin and none could be read; reading
+    goes on at the next one. Bytes other than padding right after a record make it doubtful
+    for a range that has found no record before it, which then passes it over.
+    """
     at, inside = start, start == 0
     while at < end:
         if not inside:
@@ -188,12 +195,14 @@ def records_in(window: _Window, start: int, end: int) -> Iterator[tuple[int, dic
                 return
         got = _member(window, at)
         record = _parsed(got[0]) if got else None
-        whole = record is not None and (got[1] == window.size or window.at(got[1], 3) == MAGIC)
-        if not whole:
-            if inside and start == 0 and at == 0:
-                inside = False  # bytes before the first record are skipped
-            elif inside:
-                raise ValueError(f"no WARC record at byte {at}")
+        # After a record comes the next one, the end, or padding. Where a record is known to
+        # begin, nothing needs to vouch for it.
+        follows = window.at(got[1], 3) if record else b""
+        if record is None or not (inside or follows in (b"", MAGIC) or not follows.strip(b"\0")):
+            if inside and at > 0 and window.at(at, CHUNK).strip(b"\0"):
+                yield at, {}, b""
+            # bytes before the first record, a torn member and padding are passed over
+            inside = False
             at += 1
             continue
         inside = True
@@ -201,10 +210,25 @@ def records_in(window: _Window, start: int, end: int) -> Iterator[tuple[int, dic
         at = got[1]
 
 
+_HASHES = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha512": hashlib.sha512, "md5": hashlib.md5}
+
+
+def digest_agrees(label: str | None, payload: bytes) -> bool | None:
+    """Whether a digest header is that of the payload; None without one or for an unknown kind.
+
+    The value may be base32, with or without padding, or hexadecimal, in any case.
+    """
+    kind, _, value = (label or "").partition(":")
+    if kind.strip().lower() not in _HASHES:
+        return None
+    raw, value = _HASHES[kind.strip().lower()](payload).digest(), value.strip().rstrip("=").lower()
+    return value in (raw.hex(), base64.b32encode(raw).decode().rstrip("=").lower())
+
+
 def _read(payloads: bool):
     kind = pa.map_(pa.string(), pa.string())
-    names = ["path", "offset", "headers", "block_bytes", "payload", "payload_bytes", "payload_digest"]
-    types = [pa.string(), pa.int64(), kind, pa.int64(), pa.binary(), pa.int64(), pa.string()]
+    names = ["path", "offset", "headers", "block_bytes", "payload", "payload_bytes", "payload_digest", "digest_agrees"]
+    types = [pa.string(), pa.int64(), kind, pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -217,18 +241,18 @@ def _read(payloads: bool):
                 store, name = fs.FileSystem.from_uri(path)
                 with store.open_input_file(name) as handle:
                     for offset, headers, block in records_in(_Window(handle, size), start, end):
-                        payload = full = sha = None
+                        payload = full = sha = agrees = None
                         if headers.get("Content-Type", "").startswith("application/http"):
                             head, _, payload = block.partition(b"\r\n\r\n")
                             http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
                             full = int(http["content-length"]) if http.get("content-length", "").isdigit() else len(payload)
                         if headers.get("WARC-Type") == "revisit":
-                            payload, sha = None, headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+                            kind_of, _, value = headers.get("WARC-Payload-Digest", "").partition(":")
+                            payload, sha = None, value.strip().upper() if kind_of.strip().lower() == "sha1" else None
                         elif payload is not None:
                             full, sha = len(payload), digest(payload)
-                            if headers.get("WARC-Payload-Digest", f"sha1:{sha}") != f"sha1:{sha}":
-                                raise ValueError(f"payload of the record at byte {offset} of {path} differs from its digest")
-                        rows.append((path, offset, list(headers.items()), len(block), payload if payloads else None, full, sha))
+                            agrees = digest_agrees(headers.get("WARC-Payload-Digest"), payload)
+                        rows.append((path, offset, list(headers.items()), len(block), payload if payloads else None, full, sha, agrees))
                         held += len(block)
                         if len(rows) >= 2048 or held > 16 << 20:
                             yield out()
@@ -240,17 +264,19 @@ def _read(payloads: bool):
 
 
 def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """A row per record: path, offset, headers, block_bytes, payload, payload_bytes, payload_digest.
+    """A row per record: path, offset, headers, block_bytes, payload, payload_bytes, payload_digest, digest_agrees.
 
-    payload_bytes and payload_digest are those of the full payload, also for revisits.
+    payload_bytes and payload_digest are those of the full payload, also for revisits (null
+    there if the header has no sha1). digest_agrees compares the payload with its header.
+    A torn record or bytes between records end nothing: a row with empty headers marks them.
     """
-    schema = "path string, offset long, headers map<string,string>, block_bytes long, payload binary, payload_bytes long, payload_digest string"
+    schema = "path string, offset long, headers map<string,string>, block_bytes long, payload binary, payload_bytes long, payload_digest string, digest_agrees boolean"
     return splits(spark, files, split).mapInArrow(_read(payloads), schema)
 
 
 def report(pages: DataFrame) -> DataFrame:
     """Write an archive of the pages, read it back: a row per page."""
-    records = read(pages.sparkSession, write(pages), payloads=False)
+    records = read(pages.sparkSession, write(pages), payloads=False).where(F.size("headers") > 0)
     number = lambda header: F.regexp_extract(F.col("headers")[header], rf"{_ID}(-?\d+)", 1)
     page = lambda header: F.when(number(header) != "", number(header).cast("long"))
     return records.select(page("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest", F.col("headers")["WARC-Type"].alias("record_type"), page("WARC-Refers-To").alias("refers_to"))
