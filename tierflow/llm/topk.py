@@ -136,7 +136,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     largest = F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
     norms = [df.agg(largest).first()[0] or 0.0 for df in (scaled(vectors, scale), asked)]
     # By Cauchy and Schwarz no score lies outside; beyond 62 bits integers would wrap.
-    bound = min(int((norms[0] * norms[1]) ** 0.5) + 2, 1 << 61)
+    bound = int(norms[0] ** 0.5 * norms[1] ** 0.5) + 2
+    if bound > 1 << 61:
+        raise ValueError(f"scores may reach {bound}, beyond what 64-bit integers add exactly; take a smaller scale")
     width = 1
     while width * bins < 2 * bound + 1:
         width *= bins
