@@ -1,5 +1,6 @@
 """The classifier and the five stages of the pipeline beside plain versions of them."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -250,3 +251,47 @@ def test_recall_at_the_threshold(spark, n):
         links += 100 * common >= 75 * (2 * n - common)
     got = hyperminhash.report(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").count()
     assert links == 40 and got >= 0.9 * links
+
+
+# Archives and vectors as they come
+
+
+def test_torn_padded_and_foreign_archives(spark, tmp_path):
+    import base64
+    import gzip
+
+    from tierflow.llm import warc
+
+    def member(i, payload, label):
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: {label}\r\nContent-Length: {len(http)}\r\n\r\n"
+        return gzip.compress(head.encode() + http + b"\r\n\r\n")
+
+    body = b"<html>some page</html>"
+    sha1 = hashlib.sha1(body)
+    labels = [
+        "sha1:" + base64.b32encode(sha1.digest()).decode().lower(), "sha1:" + sha1.hexdigest(), "sha256:" + hashlib.sha256(body).hexdigest(),
+        "blake3:abc", "sha1:AAAA",
+    ]
+    members = [member(i, body, x) for i, x in enumerate(labels)]
+    torn = members[0][: len(members[0]) // 2]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members) + b"\0" * 700)
+    (tmp_path / "b.warc.gz").write_bytes(members[0] + torn + members[1] + members[2] + torn)
+    for split in (64, 1 << 20):
+        files = [(f"file://{tmp_path}/{n}.warc.gz", (tmp_path / f"{n}.warc.gz").stat().st_size) for n in "ab"]
+        rows = warc.read(spark, files, split=split).collect()
+        at = lambda n: sorted((r for r in rows if r.path.endswith(f"{n}.warc.gz")), key=lambda r: r.offset)
+        assert [r.headers.get("WARC-Record-ID") for r in at("a")] == [f"<urn:page:{i}>" for i in range(5)]
+        assert [r.digest_agrees for r in at("a")] == [True, True, True, None, False]
+        whole = [r for r in at("b") if r.headers]
+        assert [r.headers["WARC-Record-ID"] for r in whole] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:2>"]
+        assert all(bytes(r.payload) == body for r in whole)
+        assert split == 64 or len(at("b")) > len(whole)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    from tierflow.llm import topk
+
+    vectors = spark.createDataFrame([(0, [1e10, 1e10]), (1, [1e10, -1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.report(vectors)
