@@ -8,12 +8,16 @@ keys: two sets of similarity 0.75 miss all 51 bands about once in a million time
 
 Work is on classes: documents with the same shingle set share a class, so copies never
 meet. In each bucket of a band that holds two classes or more, pivots are compared with
-all other members of fitting size: first by the sketch (share of equal registers, corrected for
-chance collisions; far below the threshold means no link), then by the full sets from
-both texts. Pairs whose classes are connected already need no comparison. Members that
-were pivots leave the bucket; rounds with more and more pivots go on until no bucket
-holds two components. So every pair that shares a band is compared or known to be
-connected, and a large group of copies costs a few comparisons for each.
+all other members: first by the slots that their shingles fill among 1,024 (an upper bound
+of the intersection, so no link is lost), then by the sketch (share of equal registers,
+corrected for chance collisions), then by the full sets from both texts. The sketch drops a
+pair whose estimate lies SIGMAS standard errors below the threshold; the error follows
+from the number of filled buckets, so small sets are always compared in full. Pairs whose
+classes are connected already need no comparison, and a pair that shares several bands meets in
+the smallest of them only. Members that were pivots leave the bucket; rounds with more and
+more pivots go on until no bucket holds two components. So every pair that shares a band is
+ruled out by a bound, compared, or known to be connected, and a large group of copies costs a
+few comparisons for each.
 
 Defined results: a null text is empty; a document without words has no shingles, links
 with nothing and is kept; with one to four words the whole sequence is its one shingle;
@@ -39,10 +43,11 @@ SHINGLE = 5
 BUCKETS = 256
 MANTISSA = 10
 ROWS, BANDS = 5, 51
-#: Sketches estimate within 0.03; a pair is dropped only this far below the threshold.
-MARGIN = 0.25
-#: Sets below this size are compared in full without an estimate.
-SMALL = 64
+#: A pair is dropped by its estimate only so many standard errors below the threshold: a pair
+#: at the threshold is lost with a chance of about 2e-8, whatever the sizes.
+SIGMAS = 5.5
+#: 64-bit words of the slots that a set's shingles fill.
+SLOT_WORDS = 16
 PIVOTS = 4
 _ROW = "__near_row"
 
@@ -90,21 +95,31 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """Which of 64 * SLOT_WORDS slots the hashes of a set fill, as signed words."""
+    filled = np.zeros(64 * SLOT_WORDS, np.uint8)
+    filled[(hashes % _U(len(filled))).astype(np.int64)] = 1
+    return np.packbits(filled).view(np.int64)
+
+
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in sliced(whole, 2):
-            key, n, sketch = [], [], []
+            key, n, sketch, words = [], [], [], []
             for s in shingle_sets(b.column(2)):
                 n.append(len(s))
                 if len(s):
                     mixed = mix(s ^ _FACTORS[1])
                     key.append(int(mix(np.array([mixed.sum(dtype=_U) + _U(len(s))], _U)).view(np.int64)[0]))
                     sketch.append(registers(s).tobytes())
+                    words.append(slots(s))
                 else:
                     key.append(None)
                     sketch.append(None)
+                    words.append(None)
             columns = [b.column(0), b.column(1), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "n_shingles", "sketch"])
+            columns.append(pa.array(words, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "n_shingles", "sketch", "slots"])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -113,10 +128,10 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """row, doc_id, key of the class (null without words), n_shingles and sketch of numbered rows."""
+    """row, doc_id, key of the class (null without words), n_shingles, sketch and slots of numbered rows."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     df = rows.select(F.col(_ROW).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    return stored(df.mapInArrow(_sketch, f"row long, doc_id {kind}, key long, n_shingles long, sketch binary"), "sketches")
+    return stored(df.mapInArrow(_sketch, f"row long, doc_id {kind}, key long, n_shingles long, sketch binary, slots array<long>"), "sketches")
 
 
 def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +141,7 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : ROWS * BANDS].astype(_U)
         bands = mix((regs.reshape(-1, BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=2, dtype=_U) ^ _SALTS)
         again = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), b.column(0).take(again), b.column(2).take(again)], ["band", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), b.column(0).take(again)], ["band", "key"])
 
 
 def _estimates(threshold: float):
@@ -142,9 +157,11 @@ def _estimates(threshold: float):
             share = [np.exp(-x[:, None] / BUCKETS * 2.0 ** -(zeros + 1)) - np.exp(-x[:, None] / BUCKETS * 2.0**-zeros) for x in n]
             chance = (share[0] * share[1]).sum(axis=1) / (1 << MANTISSA)
             jaccard = (equal - chance) / (1 - chance)
-            sizes = np.minimum(*n) / np.maximum(*n)
-            fine = ((jaccard >= threshold - MARGIN) | (np.minimum(*n) < SMALL)) & (sizes >= threshold - 1e-9)
-            yield b.filter(pa.array(fine)).select([0, 1])
+            # Filled buckets count; those that lend registers weigh more, which adds to the error.
+            filled = BUCKETS * -np.expm1(-np.minimum(*n) / BUCKETS)
+            lent = BUCKETS / filled
+            error = np.sqrt(threshold * (1 - threshold) / filled * (1 + (lent - 1) / lent**2))
+            yield b.filter(pa.array(jaccard >= threshold - SIGMAS * error)).select([0, 1])
 
     return run
 
@@ -196,15 +213,29 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
             labels = jumped.drop("changed") if changed else labels
 
 
-def _compared(pairs: DataFrame, rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (key, pivot) that link: first by sketch, then by the sets of both texts."""
+def _filled(words: Column) -> Column:
+    """How many slots the words name."""
+    return sum((F.bit_count(F.get(words, F.lit(i))) for i in range(1, SLOT_WORDS)), F.bit_count(F.get(words, F.lit(0))))
+
+
+def _may_link(a: str, b: str, threshold: float) -> Column:
+    """Sets of a and b (prefixes of n, filled, slots) can reach the threshold (exact: true of all that do)."""
     percent = round(100 * threshold)
-    involved = pairs.select("key").union(pairs.select("pivot")).distinct()
-    # One row stands for each class.
-    slim = table.select("key", "row").join(involved, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
-    held = stored(table.join(slim.select("row"), "row", "left_semi").select("row", "key", "n_shingles", "sketch"), "representatives")
-    own, other = held.drop("row"), held.drop("row").toDF("pivot", "n", "other")
-    met = pairs.join(own, "key").join(other, "pivot").select("key", "pivot", "n_shingles", "n", "sketch", "other")
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    shared = [F.bit_count(F.get(f"{a}slots", F.lit(i)).bitwiseAND(F.get(f"{b}slots", F.lit(i)))) for i in range(SLOT_WORDS)]
+    common = sum(shared[1:], shared[0])
+    # A slot that the other set leaves empty holds at least one shingle that it lacks.
+    most = F.least(n - F.col(f"{a}filled"), m - F.col(f"{b}filled")) + common
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & ((100 + percent) * most >= percent * (n + m))
+
+
+def _compared(pairs: DataFrame, rows: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (key, pivot) that link: by slots, by sketch, then by the sets of both texts."""
+    percent = round(100 * threshold)
+    own = held.select("key", "n", "filled", "slots", "sketch")
+    other = own.toDF("pivot", "pivot_n", "pivot_filled", "pivot_slots", "other")
+    met = pairs.join(own, "key").join(other, "pivot").where(_may_link("", "pivot_", threshold)).select("key", "pivot", "n", "pivot_n", "sketch", "other")
     near = stored(met.mapInArrow(_estimates(threshold), "key long, pivot long"), "near-pairs")
     wanted = held.select("row", "key").join(near.select("key").union(near.select("pivot")).distinct(), "key", "left_semi")
     texts = rows.select(F.col(_ROW).alias("row"), F.col("text").cast("string").alias("text")).join(wanted, "row").select("key", "text")
@@ -212,9 +243,21 @@ def _compared(pairs: DataFrame, rows: DataFrame, table: DataFrame, threshold: fl
     return full.mapInArrow(_verified(percent), "key long, pivot long")
 
 
-def _like_sizes(n: Column, m: Column, threshold: float) -> Column:
-    """Sets of these sizes can reach the threshold."""
-    return 100 * F.least(n, m) >= round(100 * threshold) * F.greatest(n, m)
+def _meetings(known: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (key, pivot) of different components that share a bucket and may link, each once.
+
+    known has band, key, component and chosen. A pair meets in the smallest of its common
+    buckets. That bucket is left by one of the two only as a pivot, after this comparison, or
+    when it holds one component, so a pair that another bucket passes over is not lost.
+    """
+    lists = known.groupBy("key").agg(F.collect_list("band").alias("bands"))
+    facts = held.select("key", "n", "filled", "slots").join(lists, "key")
+    full = known.join(facts, "key")
+    pivots = full.where("chosen").select("band", *[F.col(c).alias(f"pivot_{c}") for c in ("key", "component", "n", "filled", "slots", "bands")])
+    apart = (F.col("component") != F.col("pivot_component")) & (~F.col("chosen") | (F.col("key") > F.col("pivot_key")))
+    here = F.array_min(F.array_intersect("bands", "pivot_bands")) == F.col("band")
+    met = full.join(pivots, "band").where(apart & _may_link("", "pivot_", threshold) & here)
+    return met.select(F.greatest("key", "pivot_key").alias("key"), F.least("key", "pivot_key").alias("pivot"))
 
 
 def linked_classes(rows: DataFrame, table: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -224,15 +267,19 @@ def linked_classes(rows: DataFrame, table: DataFrame, threshold: float = 0.75) -
     the largest component of their bucket are pivots, PIVOTS of a bucket in the first
     round and eight times as many in each further one.
     """
-    bands = table.where("key is not null").select("key", "sketch", "n_shingles").mapInArrow(_bands, "band long, key long, n long")
-    crowded = bands.groupBy("band").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("most")).where("first.key <> most")
+    bands = table.where("key is not null").select("key", "sketch").mapInArrow(_bands, "band long, key long")
+    crowded = bands.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("most")).where("first <> most")
     members = stored(bands.join(crowded.select("band", "first"), "band").distinct(), "band-members")
-    pairs = members.where("key <> first.key").where(_like_sizes(F.col("n"), F.col("first.n"), threshold))
-    pairs = stored(pairs.select("key", F.col("first.key").alias("pivot")).distinct(), "pairs")
-    members = members.where("key <> first.key").select("band", "key", "n")
+    # One row stands for each class.
+    slim = table.select("key", "row").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    held = table.join(slim.select("row"), "row", "left_semi")
+    held = stored(held.select("row", "key", F.col("n_shingles").alias("n"), _filled(F.col("slots")).alias("filled"), "slots", "sketch"), "representatives")
+    members = members.where("key <> first")
+    pairs = stored(members.select("key", F.col("first").alias("pivot")).distinct(), "pairs")
+    members = members.select("band", "key")
     tested, labels, most = pairs, None, PIVOTS
     while True:
-        found = stored(_compared(pairs, rows, table, threshold).toDF("a", "b"), "links")
+        found = stored(_compared(pairs, rows, held, threshold).toDF("a", "b"), "links")
         if labels is None or not found.isEmpty():
             labels = components(found, labels)
         known = members.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -242,15 +289,12 @@ def linked_classes(rows: DataFrame, table: DataFrame, threshold: float = 0.75) -
         # Buckets of one component are done; of the others the pivots leave after this round.
         # All buckets take the smallest hashes first, so that they share their pivots.
         chosen = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-        known = stored(known.join(mixed, "band").select("band", "key", "n", "component", chosen.alias("chosen")), "band-members")
+        known = stored(known.join(mixed, "band").select("band", "key", "component", chosen.alias("chosen")), "band-members")
         if known.isEmpty():
             return labels
-        pivots = known.where("chosen").select("band", F.col("key").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
-        met = known.join(pivots, "band").where(F.col("component") != F.col("other")).where(_like_sizes(F.col("n"), F.col("m"), threshold))
-        met = met.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot")).distinct()
-        pairs = stored(met.join(tested, ["key", "pivot"], "left_anti"), "pairs")
+        pairs = stored(_meetings(known, held, threshold).join(tested, ["key", "pivot"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        members = known.where(~F.col("chosen")).select("band", "key", "n")
+        members = known.where(~F.col("chosen")).select("band", "key")
         most *= 8
 
 
