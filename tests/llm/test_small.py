@@ -105,6 +105,33 @@ def test_near_dedup_matches_brute_force(spark):
     assert got == [(i, n[i], component[i], component[i] == i) for i in range(len(texts))]
 
 
+def test_slot_bound_and_estimate_keep_pairs_at_the_threshold(spark):
+    """Neither check drops a pair of similarity 0.75 or more; the slots drop most unlike pairs of small sets."""
+    rng = np.random.default_rng(8)
+    rows, like = [], {}
+    for i in range(400):
+        size = int(rng.integers(4, 40)) * 4 if i % 4 else int(rng.integers(500, 2000)) * 4
+        both = 6 * size // 7 if i % 2 else size // 2
+        a = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        b = np.concatenate([a[: both + (i % 2)], rng.integers(0, 1 << 64, size - both - (i % 2), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        cut = len(np.intersect1d(a, b))
+        like[i] = (100 * cut >= 75 * (len(a) + len(b) - cut), size)
+        sides = [(len(x), int(np.bitwise_count(hyperminhash.slots(x).view(np.uint64)).sum()), hyperminhash.slots(x).tolist(), hyperminhash.registers(x).tobytes()) for x in (a, b)]
+        rows.append((i, i, *sides[0], *sides[1]))
+    side = "n long, filled int, slots array<long>, sketch binary"
+    other = "pivot_n long, pivot_filled int, pivot_slots array<long>, other binary"
+    df = spark.createDataFrame(rows, f"key long, pivot long, {side}, {other}")
+    near = df.where(hyperminhash._may_link("", "pivot_", 0.75))
+    bound = {r.key for r in near.select("key").collect()}
+    near = near.select("key", "pivot", "n", "pivot_n", "sketch", "other").mapInArrow(hyperminhash._estimates(0.75), "key long, pivot long")
+    kept = {r.key for r in near.collect()}
+    assert sum(x for x, _ in like.values()) > 150
+    assert {i for i, (x, _) in like.items() if x} <= kept <= bound
+    assert not bound & {i for i, (x, size) in like.items() if not x and size < 160 and i % 2 == 0 and size >= 40}
+    assert all(i not in kept for i, (x, size) in like.items() if not x and size >= 2000 and i % 2 == 0)
+
+
 def test_dedup_keeps_one_of_each_group(spark):
     same = prose(1)
     df = docs(spark, [same, same, same + " more", prose(2), "", None, prose(3), prose(3)], ids=[4, 4, 3, 9, 5, None, None, None])
