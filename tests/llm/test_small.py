@@ -141,6 +141,19 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert hyperminhash.deduplicated(df.limit(0)).count() == 0 and hyperminhash.report(df.limit(0)).count() == 0
 
 
+def test_near_dedup_parts_unlike_sets_of_one_key(spark):
+    rows = [(0, 7, 1), (1, 7, 1), (2, 7, 2), (3, 8, 1), (4, None, None), (5, None, None)]
+    got = {r["row"]: r["key"] for r in hyperminhash.parted(spark.createDataFrame(rows, "row long, key long, check long")).collect()}
+    assert got[0] == got[1] != got[2] and got[3] == 8 and got[4] is None and got[5] is None and len(set(got.values())) == 4
+
+
+def test_near_dedup_key_and_check_follow_the_set(spark):
+    table = hyperminhash.sketches(hyperminhash.numbered(docs(spark, [prose(1), prose(1).upper(), prose(2), "", None]))).select("doc_id", "key", "check").collect()
+    names = {r["doc_id"]: (r["key"], r["check"]) for r in table}
+    assert names[0] == names[1] != names[2] and names[0][0] != names[0][1]
+    assert names[3] == names[4] == (None, None)
+
+
 # 3 packing
 
 

@@ -7,7 +7,7 @@ of a bucket chosen by a fixed probe sequence. Bands of five registers are the ca
 keys: two sets of similarity 0.75 miss all 51 bands about once in a million times.
 
 Work is on classes: documents with the same shingle set share a class, so copies never
-meet. In each bucket of a band that holds two classes or more, pivots are compared with
+meet. Sets are told apart by 128 bits: a 64-bit key, and 64 more that part keys of unlike sets. In each bucket of a band that holds two classes or more, pivots are compared with
 all other members: first by the slots that their shingles fill among 1,024 (an upper bound
 of the intersection, so no link is lost), then by the sketch (share of equal registers,
 corrected for chance collisions), then by the full sets from both texts. The sketch drops a
@@ -105,21 +105,25 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in sliced(whole, 2):
-            key, n, sketch, words = [], [], [], []
+            key, check, n, sketch, words = [], [], [], [], []
             for s in shingle_sets(b.column(2)):
                 n.append(len(s))
                 if len(s):
                     mixed = mix(s ^ _FACTORS[1])
-                    key.append(int(mix(np.array([mixed.sum(dtype=_U) + _U(len(s))], _U)).view(np.int64)[0]))
+                    again = mix(s ^ _FACTORS[2])
+                    names = np.array([mixed.sum(dtype=_U) + _U(len(s)), again.sum(dtype=_U)], _U)
+                    for column, name in zip((key, check), mix(names).view(np.int64).tolist()):
+                        column.append(name)
                     sketch.append(registers(s).tobytes())
                     words.append(slots(s))
                 else:
                     key.append(None)
+                    check.append(None)
                     sketch.append(None)
                     words.append(None)
-            columns = [b.column(0), b.column(1), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())]
+            columns = [b.column(0), b.column(1), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())]
             columns.append(pa.array(words, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "n_shingles", "sketch", "slots"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "check", "n_shingles", "sketch", "slots"])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -128,10 +132,23 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """row, doc_id, key of the class (null without words), n_shingles, sketch and slots of numbered rows."""
+    """row, doc_id, key of the class (null without words), check, n_shingles, sketch and slots of numbered rows."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     df = rows.select(F.col(_ROW).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    return stored(df.mapInArrow(_sketch, f"row long, doc_id {kind}, key long, n_shingles long, sketch binary, slots array<long>"), "sketches")
+    table = df.mapInArrow(_sketch, f"row long, doc_id {kind}, key long, check long, n_shingles long, sketch binary, slots array<long>")
+    return parted(stored(table, "sketches"))
+
+
+def parted(table: DataFrame) -> DataFrame:
+    """table with new keys where sets of different checks share one (at 10**10 sets, a few do)."""
+    while True:
+        shared = table.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+        shared = stored(shared.select(F.col("key").alias("shared")), "shared-keys")
+        if shared.isEmpty():
+            return table
+        key = F.when(F.col("shared").isNull(), F.col("key")).otherwise(F.xxhash64("key", "check"))
+        table = table.join(shared, F.col("key") == F.col("shared"), "left").withColumn("key", key).drop("shared")
+        table = stored(table, "sketches")
 
 
 def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
