@@ -48,7 +48,9 @@ ROWS, BANDS = 5, 51
 SIGMAS = 5.5
 #: 64-bit words of the slots that a set's shingles fill.
 SLOT_WORDS = 16
-PIVOTS = 4
+#: Pivots of a bucket in the first round; a bucket with fewer members outside its largest
+#: component is done in one.
+PIVOTS = 256
 _ROW = "__near_row"
 
 _U = np.uint64
@@ -282,7 +284,7 @@ def linked_classes(rows: DataFrame, table: DataFrame, threshold: float = 0.75) -
 
     First every member of a bucket is compared with the smallest. Then members outside
     the largest component of their bucket are pivots, PIVOTS of a bucket in the first
-    round and eight times as many in each further one.
+    round and 64 times as many in each further one.
     """
     bands = table.where("key is not null").select("key", "sketch").mapInArrow(_bands, "band long, key long")
     crowded = bands.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("most")).where("first <> most")
@@ -312,7 +314,7 @@ def linked_classes(rows: DataFrame, table: DataFrame, threshold: float = 0.75) -
         pairs = stored(_meetings(known, held, threshold).join(tested, ["key", "pivot"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         members = known.where(~F.col("chosen")).select("band", "key")
-        most *= 8
+        most *= 64
 
 
 def grouped(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
