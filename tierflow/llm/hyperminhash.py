@@ -269,9 +269,10 @@ def _meetings(known: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     buckets. That bucket is left by one of the two only as a pivot, after this comparison, or
     when it holds one component, so a pair that another bucket passes over is not lost.
     """
-    lists = known.groupBy("key").agg(F.collect_list("band").alias("bands"))
-    facts = held.select("key", "n", "filled", "slots").join(lists, "key")
-    full = known.join(facts, "key")
+    places = known.groupBy("key").agg(F.min("component").alias("component"), F.collect_list(F.struct("band", "chosen")).alias("places"))
+    # A class meets its facts once; its buckets are unfolded after that.
+    facts = held.select("key", "n", "filled", "slots").join(places, "key")
+    full = facts.select("key", "component", "n", "filled", "slots", F.col("places.band").alias("bands"), F.inline("places"))
     pivots = full.where("chosen").select("band", *[F.col(c).alias(f"pivot_{c}") for c in ("key", "component", "n", "filled", "slots", "bands")])
     apart = (F.col("component") != F.col("pivot_component")) & (~F.col("chosen") | (F.col("key") > F.col("pivot_key")))
     here = F.array_min(F.array_intersect("bands", "pivot_bands")) == F.col("band")
