@@ -42,20 +42,23 @@ BASE_COLUMNS = (
 
 
 def attach_forecast(
-    universe: DataFrame, forecast: DataFrame, plant: DataFrame | None = None
+    universe: DataFrame, forecast: DataFrame, plant: DataFrame | None = None, location: str = "location"
 ) -> DataFrame:
     """Active, kept rows of the universe with their forecast quantity, distinct.
 
     ``plant`` gives the location of rows that have none of their own; leave it
     out where the universe always has a location and an item. The join then needs
-    no care for null keys, and the distinct shares its shuffle.
+    no care for null keys, and the distinct shares its shuffle. ``location`` may then name a
+    column of equal values by which the rows lie already. Lists that the universe
+    carries for the stock operators are kept.
     """
+    lists = [c for c in policy.CARRIED_LISTS if c in universe.columns]
     rows = universe.filter(F.col("is_active") & ~F.col("is_filtered_out"))
     matched = forecast.select(
         "location", "item", "total_forecasted_qty", F.lit(True).alias("has_forecast")
     )
     if plant is None:
-        rows = rows.join(matched, ["location", "item"], "left")
+        rows = rows.join(matched.withColumnRenamed("location", location), ["item", location], "left")
     else:
         fallback = plant.select(
             F.col("plant_id").alias("dc"), F.col("network_plant_id").alias("plant_location")
@@ -70,7 +73,7 @@ def attach_forecast(
             F.when(F.col("has_forecast"), "Forecasted").otherwise("Not Forecasted"),
         )
         .withColumn("total_forecasted_qty", F.coalesce("total_forecasted_qty", F.lit(0.0)))
-        .select(*BASE_COLUMNS)
+        .select(*BASE_COLUMNS, *lists)
         .distinct()
     )
 

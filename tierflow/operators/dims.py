@@ -241,9 +241,9 @@ def receipt_xref(
         F.col("source_wh").alias("warehouse_num"), "destination_wh"
     )
     return (
-        receipts.join(item_xref.select("usn", "material_number"), "usn")
-        .join(plant.select(F.col("plant_id").alias("warehouse_num")), "warehouse_num")
+        receipts.join(plant.select(F.col("plant_id").alias("warehouse_num")), "warehouse_num")
         .join(done, "warehouse_num", "left")
+        .join(item_xref.select("usn", "material_number"), "usn")
         .select(
             "usn",
             "warehouse_num",

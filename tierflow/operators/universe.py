@@ -125,17 +125,22 @@ def universe_material(
     params: TierParams,
     net: NetworkPolicy,
     active_only: bool = False,
+    item_list: DataFrame | None = None,
+    place_list: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct catalogue rows of the network with status, cost, price, stock and tier.
 
-    Tables that only have to hold a key are semi-joined. Copies of a catalogue
-    row go before the joins, and receipts are cut to their distinct dates, for
-    nothing else of them is read. Joins on the item come first, then those on (item, dc), whose shuffle
-    the final distinct shares. ``active_only`` applies the active and policy
+    Tables that only have to hold a key are semi-joined. The wide catalogue rows are shuffled
+    once, by (item, dc): copies go there, all joins are on that key, and the final distinct
+    shares it. What hangs on the item alone comes with the narrow receipt rows, which
+    each catalogue row has to meet. Receipts are cut to their distinct dates, for nothing
+    else of them is read. ``active_only`` applies the active and policy
     conditions on the catalogue scan; the forecast attach, which follows it, makes
-    the rows distinct, so it is not done here as well.
+    the rows distinct, so it is not done here as well. ``item_list`` and ``place_list``
+    hold one row per item, or per (item, dc), with a list that the rows carry along.
     """
     t = tables
+    place = ["item", "dc"]
     catalogue = t["catalogue"]
     if active_only:
         catalogue = catalogue.filter(material_active() & material_kept(net))
@@ -150,8 +155,10 @@ def universe_material(
             is_active(material_active()).alias("is_active"),
             is_filtered_out(material_kept(net)).alias("is_filtered_out"),
         )
+        .where("item is not null")
         .join(own_plants.select(F.col("network_plant_id").alias("dc")), "dc", "left_semi")
         .join(t["plant"].select(F.col("plant_id").alias("dc")), "dc", "left_semi")
+        .repartition(*place)
         .distinct()
     )
     units = t["item_master"].select(F.col("dmdunit").alias("item"), "uom")
@@ -160,22 +167,16 @@ def universe_material(
         .select("item", superseded_flag("altitem").alias("superseded_sku"))
         .distinct()
     )
-    own_receipts = (
+    listed = (
         t["atlas"]
-        .select("plant", "material", "vendor")
-        .join(
-            t["vendor_receipts"].select(
-                "plant",
-                F.col("material_nbr").alias("material"),
-                F.col("vendor_nbr").alias("vendor"),
-                F.col("vendor_sku_dc_first_receive_date").alias("own_receipt_date"),
-            ),
-            ["plant", "material", "vendor"],
-            "left",
-        )
-        .select(zero_trim("material").alias("item"), F.col("plant").alias("dc"), "own_receipt_date")
-        .distinct()
+        .select(zero_trim("material").alias("item"), F.col("plant").alias("dc"), "material", "vendor")
+        .where("item is not null and dc is not null")
+        .join(units, "item", "left")
+        .join(superseded, "item", "left")
     )
+    if item_list is not None:
+        listed = listed.join(item_list, "item", "left")
+    own_receipts = _own_receipts(listed, t["vendor_receipts"])
     extract = t["extract"].select(
         "item", F.col("loc").alias("dc"), "udc_pir_cost", "udc_velocity_code"
     )
@@ -192,11 +193,8 @@ def universe_material(
         t["instock_weekly"], t["calendar"], net.network, "item", params.as_of, params.snapshot_weeks
     ).withColumnRenamed("warehouse_number", "dc")
 
-    place = ["item", "dc"]
     rows = (
-        base.join(units, "item", "left")
-        .join(superseded, "item", "left")
-        .join(own_receipts, place)
+        base.join(own_receipts, place)
         .join(extract, place, "left")
         .join(prices, place, "left")
         .join(stock.drop("instock_rate"), place, "left")
@@ -212,11 +210,15 @@ def universe_material(
                 F.col("plant_id").alias("dc"),
                 "cross_receipt_date",
             )
+            .repartition(*place)
             .distinct()
         )
         rows = rows.join(cross, place, "left")
     else:
         rows = rows.withColumn("cross_receipt_date", F.lit(None).cast("date"))
+    if place_list is not None:
+        rows = rows.join(place_list, place, "left")
+    lists = [c for x in (item_list, place_list) if x is not None for c in x.columns if c not in place]
 
     rows = rows.withColumn(
         "receipt_date", receipt_date(net.status_mode, "own_receipt_date", "cross_receipt_date")
@@ -241,10 +243,30 @@ def universe_material(
             "is_vmi": is_vmi(),
             "first_receipt_flg": first_receipt_flag("receipt_date"),
         }
-    ).select(*UNIVERSE_COLUMNS)
+    ).select(*UNIVERSE_COLUMNS, *lists)
     return rows if active_only else rows.distinct()
 
 
+def _own_receipts(listed: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Listed (item, dc) rows with each of their vendors' receipt dates, null without any.
+
+    The item is cut from the material, so rows of one material and plant share their (item, dc)
+    too. The join is placed by that key, as all that follow; material and vendor are
+    compared by two inequalities each, for an equality would become part of the placing.
+    """
+    dated = receipts.select(
+        F.col("plant").alias("r_dc"),
+        F.col("material_nbr").alias("r_material"),
+        F.col("vendor_nbr").alias("r_vendor"),
+        F.col("vendor_sku_dc_first_receive_date").alias("own_receipt_date"),
+    ).where("r_material is not null and r_dc is not null")
+    same = (F.col("item") == zero_trim("r_material")) & (F.col("dc") == F.col("r_dc"))
+    for k in ("material", "vendor"):
+        same = same & (F.col(k) <= F.col(f"r_{k}")) & (F.col(k) >= F.col(f"r_{k}"))
+    rows = listed.join(dated, same, "left")
+    return rows.drop("material", "vendor", "r_dc", "r_material", "r_vendor").distinct()
+
+
 def _status(params: TierParams, net: NetworkPolicy) -> Column:
     return sku_status("receipt_date", net.status_mode, params.as_of, params.recent_weeks)
 

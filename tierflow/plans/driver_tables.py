@@ -294,6 +294,51 @@ USN_NAMES = {
 }
 
 
+#: Texts that Spark builds from narrower rows; the rows are those of SQL. (n, p) stands for
+#: (dc, item), so one pass groups the shipments for both tables, and joins carry numbers.
+NARROW = {
+    "dated_pairs": f"""
+        select n, p, min(case when ship_date < date '{AS_OF}' then ship_date end) as first_date
+        from {{shipments}} group by n, p""",
+    "pairs": """
+        select cast(n as string) as dc, n, cast(100000 + p as string) as item, p
+        from {dated_pairs}""",
+    "receipts": """
+        select cast(n as string) as dc, n, cast(100000 + p as string) as item, p, first_date
+        from {dated_pairs} where first_date is not null""",
+}
+
+#: Tables that are kept as files: those that cost a shuffle, and two whose scans take filters.
+#: The rest are projections of these and of the folder's tables, read as such.
+STORED = (
+    "dated_pairs",
+    "calendar",
+    "forecast",
+    "catalogue",
+    "extract",
+    "soq",
+    "order_headers",
+    "u_extract",
+    "assortment",
+    "inventory_master",
+    "taxonomy",
+    "category_xref",
+    "atp",
+    "instock_view",
+    "catalogue_plan",
+    "storage_type",
+)
+
+
+def spark_text(name: str) -> str:
+    """The text by which Spark builds a table: keys become text above a join, not below it."""
+    if name in NARROW:
+        return NARROW[name]
+    text = re.sub(r"(select |as plant, )([qs])\.item,", r"\1cast(100000 + \2.p as string) as item,", SQL[name])
+    text = re.sub(r"\b([qs])\.item\b", r"cast(100000 + \1.p as string)", text)
+    return re.sub(r"\b([qs])\.dc\b", r"cast(\1.n as string)", text)
+
+
 def references(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))
 
@@ -303,19 +348,23 @@ def driver_tables(
 ) -> Tables:
     """Tables of one network by logical name; ``names`` maps to another text.
 
-    The engine reads stored tables, so each text is written once per session and
-    folder, when a query first asks for it. Scans of it then prune columns and
-    take filters, and its size is known to the planner.
+    A text that costs a shuffle is written once per session and folder, when a query first
+    asks for it; a projection of others is left to its reader, whose filters and columns
+    reach the files below it.
     """
 
-    def stored(name: str) -> DataFrame:
+    def built(name: str) -> DataFrame:
+        text = spark_text(name)
+
         def build() -> DataFrame:
-            return spark.sql(SQL[name], **{r: frames[r] for r in references(SQL[name])})
+            return spark.sql(text, **{r: frames[r] for r in references(text)})
 
+        if name not in STORED:
+            return build()
         return written_once(spark, f"{sf_dir}/{name}", name.replace("_", "-"), build)
 
     sources = {name: {"path": f"{sf_dir}/{name}.parquet"} for name in BASE}
-    frames = Tables(spark, sources | {name: partial(stored, name) for name in SQL})
+    frames = Tables(spark, sources | {name: partial(built, name) for name in SQL | NARROW})
     if not names:
         return frames
     renamed = {

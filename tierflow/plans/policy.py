@@ -152,3 +152,7 @@ TO_IDLE = "Transitioned to Not New+Not Forecasted"
 DROPPED = "Dropped from universe"
 OTHER_TRANSITION = "Other"
 TRANSITIONS = (STAYED, TO_RANKED, TO_NEW_UNFORECASTED, TO_IDLE, DROPPED, OTHER_TRANSITION)
+
+# lists of lookup rows that the active universe may carry, by the operator that unfolds them
+FLAG_LIST, ORDER_LIST = "__item_flags", "__orders"
+CARRIED_LISTS = (FLAG_LIST, ORDER_LIST)

@@ -17,15 +17,24 @@ from tierflow.sources.uploads import as_upload
 
 
 def active_universe(
-    tables: Mapping[str, DataFrame], params: TierParams, net: NetworkPolicy, kind: str
+    tables: Mapping[str, DataFrame],
+    params: TierParams,
+    net: NetworkPolicy,
+    kind: str,
+    item_list: DataFrame | None = None,
+    place_list: DataFrame | None = None,
 ) -> DataFrame:
-    """Active rows of the network with their forecast: the input of the tiering."""
+    """Active rows of the network with their forecast: the input of the tiering.
+
+    In the material network they may carry lists, see ``universe_material``.
+    """
     forecast = dims.forecast_window(
         tables["forecast"], tables["plant"], net.network, params.as_of, params.forecast_weeks
     )
     if kind == "material":
         # the location of a material row is its dc, so there is nothing to fall back on
-        return attach_forecast(universe_material(tables, params, net, active_only=True), forecast)
+        universe = universe_material(tables, params, net, True, item_list, place_list)
+        return attach_forecast(universe, forecast, location="dc")
     if kind == "usn":
         universe = universe_usn(tables, params, net, active_only=True)
         return attach_forecast(universe, forecast, tables["plant"])
@@ -39,11 +48,20 @@ def reclassify(
 
     The active universe has several readers (rank counts, ranked rows and the
     two unranked groups) and is staged as a table where the cluster names a folder.
+    In the material network it carries the lookups of the stock operators as lists, as
+    its rows lie by item and dc there; unfolded after the ranking, they give the rows that
+    the lookups would, and the wide rows are not shuffled again.
     """
-    base = stage(active_universe(tables, params, net, kind), "active-universe")
     projections = dims.soq_first_weeks(
         tables["soq"], params.fiscal_year, params.projection_weeks
     )
+    lists = ()
+    if kind == "material":
+        lists = (
+            stock.flags_by_item(tables["item_master"], net.high_cube_categories),
+            stock.orders_by_place(tables["plant"], projections),
+        )
+    base = stage(active_universe(tables, params, net, kind, *lists), "active-universe")
     tiers = classify(base, params)
     covered = stock.sscov(tiers, tables["item_master"], net.high_cube_categories)
     stocked = stock.safety_stock(covered, tables["plant"], projections)
