@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from conftest import rows
 
-from tierflow.operators import stock, universe
+from tierflow.operators import dims, stock, universe
 from tierflow.plans import driver_tables, registered
 from tierflow.plans.driver_tables import MATERIAL, PARAMS, material_tables
 from tierflow.plans.runs import active_universe
@@ -27,11 +27,18 @@ def plan(df):
 
 def test_universe_rows_are_placed_once(spark, no_broadcast):
     text = plan(active_universe(material_tables(spark, SF), PARAMS, MATERIAL, "material"))
-    # from the forecast join down to the catalogue no second exchange of the wide rows
-    assert "Exchange hashpartitioning(location" not in text
+    # the forecast join, which comes last, takes the rows as the join below it leaves them
+    assert "Exchange" not in text.split("SortMergeJoin")[1]
     assert text.count("REPARTITION_BY_COL") == 2  # the catalogue and the cross receipts
 
 
+def test_forecast_sums_lie_as_the_universe(spark):
+    """With its keys the other way round adaptive execution moved the universe's rows to the sums."""
+    t = material_tables(spark, SF)
+    text = plan(dims.forecast_window(t["forecast"], t["plant"], "N1", driver_tables.AS_OF))
+    assert "hashpartitioning(item#" in text and "hashpartitioning(location#" not in text
+
+
 def test_analysis_shuffles_no_rows_for_the_stock_lookups(spark, no_broadcast):
     text = plan(registered.run_of(spark, SF, "after"))
     assert "null_spread" not in text and "hashpartitioning(soq_plant" not in text

@@ -185,7 +185,9 @@ def forecast_window(
     )
     kept = forecast.filter(F.col("startdate").between(F.lit(as_of), F.lit(horizon)))
     location = F.col("skuloc").alias("location")
-    return exact_sums(kept.join(locations, "skuloc"), [location, "item"], {"total_forecasted_qty": "qty"})
+    # by item first, as the universe's rows lie, so that these sums and not those rows are moved
+    sums = exact_sums(kept.join(locations, "skuloc"), ["item", location], {"total_forecasted_qty": "qty"})
+    return sums.select("location", "item", "total_forecasted_qty")
 
 
 def soq_first_weeks(projections: DataFrame, fiscal_year: str, n: int = 13) -> DataFrame:
