@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tierflow.functions import div0, exact_sums, next_weekday, previous_weekday, zero_trim
 from tierflow.operators.joins import first_row
 from tierflow.plans import policy
+from tierflow.sources.registry import stage
 
 
 def calendar_info(calendar: DataFrame, as_of: dt.date) -> DataFrame:
@@ -44,7 +45,8 @@ def unit_price_avg(
     """Average order price by (item, dc) over the recent, deliverable order lines.
 
     Lines are summed by material and dc before they meet the catalogue, so that a
-    busy material is one row there; repeated catalogue rows weigh sum and count alike.
+    busy material is one row there; repeated catalogue rows weigh sum and count alike. The
+    sums by material are written, for the sums by item read them twice.
     """
     live_plants = plants.filter(
         (F.col("business_id") == network) & F.col("dc_region_id").isNotNull()
@@ -69,7 +71,7 @@ def unit_price_avg(
         kept_lines.join(kept_headers, "vbeln"), ["matnr", "dc"], {"amount": "netpr"}, {"lines": priced}
     ).join(eligible, ["matnr", "dc"])
     item = zero_trim("matnr").alias("item")
-    by_item = exact_sums(by_material, [item, "dc"], {"amount": "amount"}, {"lines": "lines"})
+    by_item = exact_sums(stage(by_material, "priced-materials"), [item, "dc"], {"amount": "amount"}, {"lines": "lines"})
     price = F.col("amount") / F.nullif(F.col("lines"), F.lit(0))
     return by_item.select("item", "dc", price.alias("unit_price"))
 
