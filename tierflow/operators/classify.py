@@ -42,7 +42,11 @@ BASE_COLUMNS = (
 
 
 def attach_forecast(
-    universe: DataFrame, forecast: DataFrame, plant: DataFrame | None = None, location: str = "location"
+    universe: DataFrame,
+    forecast: DataFrame,
+    plant: DataFrame | None = None,
+    location: str = "location",
+    unique: bool = False,
 ) -> DataFrame:
     """Active, kept rows of the universe with their forecast quantity, distinct.
 
@@ -50,7 +54,8 @@ def attach_forecast(
     out where the universe always has a location and an item. The join then needs
     no care for null keys, and the distinct shares its shuffle. ``location`` may then name a
     column of equal values by which the rows lie already. Lists that the universe
-    carries for the stock operators are kept.
+    carries for the stock operators are kept. ``unique`` says that the rows and the forecast's
+    keys are distinct already; no row is grouped then.
     """
     lists = [c for c in policy.CARRIED_LISTS if c in universe.columns]
     rows = universe.filter(F.col("is_active") & ~F.col("is_filtered_out"))
@@ -67,15 +72,15 @@ def attach_forecast(
             "location", F.coalesce("location", "plant_location")
         )
         rows = lookup_join(rows, [matched], ("location", "item"))
-    return (
+    rows = (
         rows.withColumn(
             "is_forecasted",
             F.when(F.col("has_forecast"), "Forecasted").otherwise("Not Forecasted"),
         )
         .withColumn("total_forecasted_qty", F.coalesce("total_forecasted_qty", F.lit(0.0)))
         .select(*BASE_COLUMNS, *lists)
-        .distinct()
     )
+    return rows if unique else rows.distinct()
 
 
 def weekly_metrics(df: DataFrame, weeks: int = 13) -> DataFrame:

@@ -127,6 +127,7 @@ def universe_material(
     active_only: bool = False,
     item_list: DataFrame | None = None,
     place_list: DataFrame | None = None,
+    all_dates: bool = False,
 ) -> DataFrame:
     """Distinct catalogue rows of the network with status, cost, price, stock and tier.
 
@@ -138,6 +139,11 @@ def universe_material(
     conditions on the catalogue scan; the forecast attach, which follows it, makes
     the rows distinct, so it is not done here as well. ``item_list`` and ``place_list``
     hold one row per item, or per (item, dc), with a list that the rows carry along.
+
+    With ``all_dates`` the rows serve every status rule: they carry their own and cross receipt
+    dates as lists, which ``with_receipts`` unfolds, and no receipt, status or tier yet. Each
+    joined table is made distinct on what the rows take from it, so active rows are distinct as
+    they are, and no joined wide row is grouped.
     """
     t = tables
     place = ["item", "dc"]
@@ -176,10 +182,16 @@ def universe_material(
     )
     if item_list is not None:
         listed = listed.join(item_list, "item", "left")
+    if all_dates:
+        listed = listed.withColumn("superseded_sku", F.coalesce("superseded_sku", F.lit("not superseded")))
     own_receipts = _own_receipts(listed, t["vendor_receipts"])
     extract = t["extract"].select(
         "item", F.col("loc").alias("dc"), "udc_pir_cost", "udc_velocity_code"
     )
+    if all_dates:
+        own_receipts = _date_list(own_receipts, "own_receipt_date", policy.OWN_DATES)
+        cost = F.coalesce("udc_pir_cost", F.lit(0.0)).alias("udc_pir_cost")
+        extract = extract.select(*place, cost, "udc_velocity_code").repartition(*place).distinct()
     prices = dims.unit_price_avg(
         t["order_lines"],
         t["order_headers"],
@@ -199,7 +211,7 @@ def universe_material(
         .join(prices, place, "left")
         .join(stock.drop("instock_rate"), place, "left")
     )
-    if net.status_mode == "coalesced":
+    if all_dates or net.status_mode == "coalesced":
         cross = (
             dims.receipt_xref(
                 t["usn_receipts"], t["item_xref"], t["plant"], t["warehouse_moves"]
@@ -213,16 +225,20 @@ def universe_material(
             .repartition(*place)
             .distinct()
         )
+        if all_dates:
+            cross = _date_list(cross, "cross_receipt_date", policy.CROSS_DATES)
         rows = rows.join(cross, place, "left")
     else:
         rows = rows.withColumn("cross_receipt_date", F.lit(None).cast("date"))
     if place_list is not None:
         rows = rows.join(place_list, place, "left")
     lists = [c for x in (item_list, place_list) if x is not None for c in x.columns if c not in place]
-
-    rows = rows.withColumn(
-        "receipt_date", receipt_date(net.status_mode, "own_receipt_date", "cross_receipt_date")
-    )
+    if all_dates:
+        lists += [policy.OWN_DATES, policy.CROSS_DATES]
+        date = F.lit(None).cast("date")
+    else:
+        date = receipt_date(net.status_mode, "own_receipt_date", "cross_receipt_date")
+    rows = rows.withColumn("receipt_date", date)
     no_text = F.lit(None).cast("string")
     rows = rows.withColumns(
         {
@@ -244,9 +260,36 @@ def universe_material(
             "first_receipt_flg": first_receipt_flag("receipt_date"),
         }
     ).select(*UNIVERSE_COLUMNS, *lists)
+    if all_dates:
+        rows = rows.withColumns({c: no_text for c in ("sku_status", "proposed_velocity", "first_receipt_flg")})
     return rows if active_only else rows.distinct()
 
 
+def _date_list(rows: DataFrame, date: str, name: str) -> DataFrame:
+    """One row per other columns with the sorted list of their dates, null being a date and the first."""
+    others = [c for c in rows.columns if c != date]
+    listed = F.sort_array(F.collect_set(F.struct(date)))
+    return rows.groupBy(*others).agg(listed.getField(date).alias(name))
+
+
+def with_receipts(rows: DataFrame, params: TierParams, net: NetworkPolicy) -> DataFrame:
+    """Active rows that carry all receipt dates, once for each date that counts under the rule.
+
+    A list holds a date once, so the rows are distinct without a shuffle.
+    """
+    dates = own = F.col(policy.OWN_DATES)
+    if net.status_mode == "coalesced":
+        # the cross dates stand for an own date that is null; set functions, unlike lambdas, are compiled
+        none = F.array(F.lit(None).cast("date"))
+        crossed = F.array_union(F.array_except(own, none), F.coalesce(policy.CROSS_DATES, none))
+        dates = F.when(F.get(own, 0).isNull(), crossed).otherwise(own)
+    kept = [c for c in rows.columns if c not in (policy.OWN_DATES, policy.CROSS_DATES)]
+    one = rows.withColumn("receipt_date", F.explode(dates))
+    return one.withColumns(
+        {"sku_status": _status(params, net), "first_receipt_flg": first_receipt_flag("receipt_date")}
+    ).select(*kept)
+
+
 def _own_receipts(listed: DataFrame, receipts: DataFrame) -> DataFrame:
     """Listed (item, dc) rows with each of their vendors' receipt dates, null without any.
 

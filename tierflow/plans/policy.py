@@ -155,4 +155,5 @@ TRANSITIONS = (STAYED, TO_RANKED, TO_NEW_UNFORECASTED, TO_IDLE, DROPPED, OTHER_T
 
 # lists of lookup rows that the active universe may carry, by the operator that unfolds them
 FLAG_LIST, ORDER_LIST = "__item_flags", "__orders"
-CARRIED_LISTS = (FLAG_LIST, ORDER_LIST)
+OWN_DATES, CROSS_DATES = "__own_dates", "__cross_dates"
+CARRIED_LISTS = (FLAG_LIST, ORDER_LIST, OWN_DATES, CROSS_DATES)

@@ -57,10 +57,21 @@ _RUNS = {
 }
 
 
+def dated_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active rows of the material network with all receipt dates: both its runs start from them."""
+    return _derived(
+        spark,
+        sf_dir,
+        "dated-universe",
+        lambda: runs.dated_universe(material_tables(spark, sf_dir), PARAMS, MATERIAL),
+    )
+
+
 def run_of(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     """Whole run from the source tables."""
     tables, net, kind = _RUNS[which]
-    return runs.reclassify(tables(spark, sf_dir), PARAMS, net, kind)
+    dated = dated_of(spark, sf_dir) if kind == "material" else None
+    return runs.reclassify(tables(spark, sf_dir), PARAMS, net, kind, dated)
 
 
 def analysis_of(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -69,6 +80,9 @@ def analysis_of(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 
 def base_of(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     tables, net, kind = _RUNS[which]
+    if kind == "material":
+        rows = universe.with_receipts(dated_of(spark, sf_dir), PARAMS, net)
+        return rows.drop(*policy.CARRIED_LISTS)
 
     def build() -> DataFrame:
         return runs.active_universe(tables(spark, sf_dir), PARAMS, net, kind)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tierflow.operators import audit, dims, impact, output, stock
 from tierflow.operators.classify import attach_forecast, classify
-from tierflow.operators.universe import universe_material, universe_usn
+from tierflow.operators.universe import universe_material, universe_usn, with_receipts
 from tierflow.plans.params import NetworkPolicy, TierParams
 from tierflow.sources.registry import stage
 from tierflow.sources.uploads import as_upload
@@ -41,13 +41,38 @@ def active_universe(
     raise ValueError(f"kind {kind!r} is not 'material' or 'usn'")
 
 
+def dated_universe(
+    tables: Mapping[str, DataFrame], params: TierParams, net: NetworkPolicy
+) -> DataFrame:
+    """Active rows of the material network with their forecast, for every status rule.
+
+    ``with_receipts`` gives the rows of one rule, those of ``active_universe`` with the lists of
+    the stock operators. The rules share all joins, so runs under several of them read this once.
+    """
+    forecast = dims.forecast_window(
+        tables["forecast"], tables["plant"], net.network, params.as_of, params.forecast_weeks
+    )
+    projections = dims.soq_first_weeks(tables["soq"], params.fiscal_year, params.projection_weeks)
+    lists = (
+        stock.flags_by_item(tables["item_master"], net.high_cube_categories),
+        stock.orders_by_place(tables["plant"], projections),
+    )
+    universe = universe_material(tables, params, net, True, *lists, all_dates=True)
+    return attach_forecast(universe, forecast, location="dc", unique=True)
+
+
 def reclassify(
-    tables: Mapping[str, DataFrame], params: TierParams, net: NetworkPolicy, kind: str
+    tables: Mapping[str, DataFrame],
+    params: TierParams,
+    net: NetworkPolicy,
+    kind: str,
+    dated: DataFrame | None = None,
 ) -> DataFrame:
     """Analysis table of one network.
 
     The active universe has several readers (rank counts, ranked rows and the
     two unranked groups) and is staged as a table where the cluster names a folder.
+    ``dated`` is a staged ``dated_universe`` of the material network that other runs read as well.
     In the material network it carries the lookups of the stock operators as lists, as
     its rows lie by item and dc there; unfolded after the ranking, they give the rows that
     the lookups would, and the wide rows are not shuffled again.
@@ -55,13 +80,12 @@ def reclassify(
     projections = dims.soq_first_weeks(
         tables["soq"], params.fiscal_year, params.projection_weeks
     )
-    lists = ()
     if kind == "material":
-        lists = (
-            stock.flags_by_item(tables["item_master"], net.high_cube_categories),
-            stock.orders_by_place(tables["plant"], projections),
-        )
-    base = stage(active_universe(tables, params, net, kind, *lists), "active-universe")
+        if dated is None:
+            dated = stage(dated_universe(tables, params, net), "dated-universe")
+        base = with_receipts(dated, params, net)
+    else:
+        base = stage(active_universe(tables, params, net, kind), "active-universe")
     tiers = classify(base, params)
     covered = stock.sscov(tiers, tables["item_master"], net.high_cube_categories)
     stocked = stock.safety_stock(covered, tables["plant"], projections)
@@ -78,7 +102,8 @@ def rule_change(
 ) -> tuple[DataFrame, DataFrame]:
     """Analysis under an old and a new status rule, everything else the same."""
     before, after = (replace(net, status_mode=m) for m in modes)
-    return reclassify(tables, params, before, kind), reclassify(tables, params, after, kind)
+    dated = stage(dated_universe(tables, params, net), "dated-universe") if kind == "material" else None
+    return reclassify(tables, params, before, kind, dated), reclassify(tables, params, after, kind, dated)
 
 
 def impact_report(old: DataFrame, new: DataFrame) -> dict[str, DataFrame]:
