@@ -71,3 +71,16 @@ def test_sums_by_material_are_read_not_made_twice(spark):
     price = dims.unit_price_avg(t["order_lines"], t["order_headers"], t["catalogue"], t["plant_ext"], "N1", DAY)
     text = price._jdf.queryExecution().executedPlan().toString()
     assert "priced-materials" in text and rows(price) == [("12", "P1", 8.0)]
+
+
+def test_stock_of_carried_lists_moves_no_wide_row(spark):
+    """safety_stock shuffled the wide rows by item and again by plant and item."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("safety_stock", "coverage_weeks"):
+            text = registered.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+            assert "null_spread" not in text and "inline" in text.lower()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not {"__orders", "__item_flags"} & set(registered.QUERIES["coverage_weeks"](spark, SF).columns)

@@ -78,11 +78,12 @@ def analysis_of(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return _derived(spark, sf_dir, f"analysis-{which}", lambda: run_of(spark, sf_dir, which))
 
 
-def base_of(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+def base_of(spark: SparkSession, sf_dir: str, which: str, lists: bool = False) -> DataFrame:
+    """Active rows of a run; with ``lists``, those of the material network keep the stock operators' lists."""
     tables, net, kind = _RUNS[which]
     if kind == "material":
         rows = universe.with_receipts(dated_of(spark, sf_dir), PARAMS, net)
-        return rows.drop(*policy.CARRIED_LISTS)
+        return rows if lists else rows.drop(*policy.CARRIED_LISTS)
 
     def build() -> DataFrame:
         return runs.active_universe(tables(spark, sf_dir), PARAMS, net, kind)
@@ -520,14 +521,15 @@ def _(spark, sf_dir):
 
 
 def _covered(spark, sf_dir) -> DataFrame:
-    tiers = classify.classify(base_of(spark, sf_dir, "after"), PARAMS)
+    """Rows with their coverage; they carry their flags and orders, as in a whole run."""
+    tiers = classify.classify(base_of(spark, sf_dir, "after", lists=True), PARAMS)
     items = material_tables(spark, sf_dir)["item_master"]
     return stock.sscov(tiers, items, MATERIAL.high_cube_categories)
 
 
 @register("coverage_weeks", "select * from o_sscov_after")
 def _(spark, sf_dir):
-    return _covered(spark, sf_dir)
+    return _covered(spark, sf_dir).drop(policy.ORDER_LIST)
 
 
 @register("safety_stock", "select * from o_stock_after")
