@@ -6,7 +6,7 @@ import pytest
 from conftest import DAY, rows
 from test_universe import EARLY, PARAMS, catalogue_row, material_tables
 
-from tierflow.operators import dims, universe
+from tierflow.operators import dims, impact, universe
 from tierflow.plans import registered, runs
 from tierflow.plans.params import material_network
 
@@ -84,3 +84,12 @@ def test_stock_of_carried_lists_moves_no_wide_row(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert not {"__orders", "__item_flags"} & set(registered.QUERIES["coverage_weeks"](spark, SF).columns)
+
+
+def test_the_merge_moves_only_what_the_report_reads(spark):
+    """All columns of the new run went through the shuffle of the merge."""
+    cohort = registered.cohort_of(spark, SF)
+    assert not {"sku_description_new", "material_id_new", "retail_price_old", "cube_new"} & set(cohort.columns)
+    before, after = (registered.analysis_of(spark, SF, w) for w in ("before", "after"))
+    whole = impact.cohort_of(before, after).select(*cohort.columns)
+    assert rows(cohort) == rows(whole) and whole.count() > 0

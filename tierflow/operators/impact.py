@@ -14,6 +14,42 @@ from tierflow.plans import policy
 KEYS = ("jda_item", "jda_loc")
 TIERS = policy.TIERS
 
+#: Columns of the detail by their source in the merged runs.
+DETAIL = {
+    "JDA_ITEM": "jda_item",
+    "JDA_LOC": "jda_loc",
+    "DC_OLD": "dc_old",
+    "DC_NEW": "dc_new",
+    "MCAT": "mcat_old",
+    "SKU_DESCRIPTION": "sku_description_old",
+    "OLD_SKU_STATUS": "sku_status_old",
+    "NEW_SKU_STATUS": "sku_status_new",
+    "OLD_IS_FORECASTED": "is_forecasted_old",
+    "NEW_IS_FORECASTED": "is_forecasted_new",
+    "OLD_FIRST_RECEIPT_FLG": "first_receipt_flg_old",
+    "NEW_FIRST_RECEIPT_FLG": "first_receipt_flg_new",
+    "SUPERSEDED_SKU": "superseded_sku_old",
+    "SYSTEM_VELOCITY": "system_velocity_old",
+    "OLD_PROPOSED_VELOCITY": "new_proposed_velocity_old",
+    "NEW_PROPOSED_VELOCITY": "new_proposed_velocity_new",
+    "OLD_VELOCITY_REASON": "velocity_reason_old",
+    "NEW_VELOCITY_REASON": "velocity_reason_new",
+    "OLD_VELOCITY_CHANGE_CLASS": "velocity_change_class_old",
+    "NEW_VELOCITY_CHANGE_CLASS": "velocity_change_class_new",
+    "NEW_VELOCITY_WEIGHT": "velocity_weight_new",
+    "NEW_VELOCITY_PERCENTILE": "calculated_velocity_percentile_new",
+    "TOTAL_FORECASTED_QTY_NEW": "total_forecasted_qty_new",
+    "WEEKLY_AVG_FCST_QTY_NEW": "weekly_average_forecasted_qty_new",
+    "WEEKLY_AVG_FCST_DOLLARS_NEW": "weekly_average_forecasted_dollars_new",
+    "OLD_PROPOSED_SSCOV": "proposed_sscov_old",
+    "NEW_PROPOSED_SSCOV": "proposed_sscov_new",
+    "OLD_PROPOSED_SS": "proposed_safety_stock_old",
+    "NEW_PROPOSED_SS": "proposed_safety_stock_new",
+    "OLD_SS_CHANGE_DOLLARS": "safety_stock_change_dollars_old",
+    "NEW_SS_CHANGE_DOLLARS": "safety_stock_change_dollars_new",
+    "COGS": "cogs_new",
+}
+
 
 # ---- merge and cohort -----------------------------------------------------------------------
 
@@ -74,6 +110,19 @@ def cohort_of(old: DataFrame, new: DataFrame) -> DataFrame:
     return transition(was_new_forecasted(merge_runs(old, new)))
 
 
+def reported(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both runs with the columns that the report reads of the cohort.
+
+    The merge moves each row of the new run, so what nobody reads is left out before it.
+    """
+
+    def narrow(df: DataFrame, end: str) -> DataFrame:
+        read = {*KEYS, *[c.removesuffix(end) for c in (*DETAIL.values(), *STOCK.values(), "mcat_new") if c.endswith(end)]}
+        return df.select(*[c for c in df.columns if c in read])
+
+    return narrow(old, "_old"), narrow(new, "_new")
+
+
 def transitioned(cohort: DataFrame) -> DataFrame:
     """Cohort rows that became not new and stayed forecasted."""
     return cohort.filter(F.col("transition") == policy.TO_RANKED)
@@ -287,43 +336,9 @@ def exec_summary(old: DataFrame, new: DataFrame, cohort: DataFrame) -> DataFrame
 
 def transition_detail(moved: DataFrame) -> DataFrame:
     """Transitioned rows side by side; shared attributes come from the old run, cost from the new."""
-    take = {
-        "JDA_ITEM": "jda_item",
-        "JDA_LOC": "jda_loc",
-        "DC_OLD": "dc_old",
-        "DC_NEW": "dc_new",
-        "MCAT": "mcat_old",
-        "SKU_DESCRIPTION": "sku_description_old",
-        "OLD_SKU_STATUS": "sku_status_old",
-        "NEW_SKU_STATUS": "sku_status_new",
-        "OLD_IS_FORECASTED": "is_forecasted_old",
-        "NEW_IS_FORECASTED": "is_forecasted_new",
-        "OLD_FIRST_RECEIPT_FLG": "first_receipt_flg_old",
-        "NEW_FIRST_RECEIPT_FLG": "first_receipt_flg_new",
-        "SUPERSEDED_SKU": "superseded_sku_old",
-        "SYSTEM_VELOCITY": "system_velocity_old",
-        "OLD_PROPOSED_VELOCITY": "new_proposed_velocity_old",
-        "NEW_PROPOSED_VELOCITY": "new_proposed_velocity_new",
-        "OLD_VELOCITY_REASON": "velocity_reason_old",
-        "NEW_VELOCITY_REASON": "velocity_reason_new",
-        "OLD_VELOCITY_CHANGE_CLASS": "velocity_change_class_old",
-        "NEW_VELOCITY_CHANGE_CLASS": "velocity_change_class_new",
-        "NEW_VELOCITY_WEIGHT": "velocity_weight_new",
-        "NEW_VELOCITY_PERCENTILE": "calculated_velocity_percentile_new",
-        "TOTAL_FORECASTED_QTY_NEW": "total_forecasted_qty_new",
-        "WEEKLY_AVG_FCST_QTY_NEW": "weekly_average_forecasted_qty_new",
-        "WEEKLY_AVG_FCST_DOLLARS_NEW": "weekly_average_forecasted_dollars_new",
-        "OLD_PROPOSED_SSCOV": "proposed_sscov_old",
-        "NEW_PROPOSED_SSCOV": "proposed_sscov_new",
-        "OLD_PROPOSED_SS": "proposed_safety_stock_old",
-        "NEW_PROPOSED_SS": "proposed_safety_stock_new",
-        "OLD_SS_CHANGE_DOLLARS": "safety_stock_change_dollars_old",
-        "NEW_SS_CHANGE_DOLLARS": "safety_stock_change_dollars_new",
-        "COGS": "cogs_new",
-    }
     delta = F.col("proposed_safety_stock_new") - F.col("proposed_safety_stock_old")
     return moved.select(
-        *[F.col(source).alias(name) for name, source in take.items()],
+        *[F.col(source).alias(name) for name, source in DETAIL.items()],
         F.concat(
             "new_proposed_velocity_old", F.lit(" -> "), "new_proposed_velocity_new"
         ).alias("VELOCITY_SHIFT"),

@@ -100,9 +100,8 @@ def upload_of(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 
 def cohort_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        return impact.cohort_of(
-            analysis_of(spark, sf_dir, "before"), analysis_of(spark, sf_dir, "after")
-        )
+        before, after = analysis_of(spark, sf_dir, "before"), analysis_of(spark, sf_dir, "after")
+        return impact.cohort_of(*impact.reported(before, after))
 
     return _derived(spark, sf_dir, "impact-cohort", build)
 

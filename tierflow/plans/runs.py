@@ -108,7 +108,7 @@ def rule_change(
 
 def impact_report(old: DataFrame, new: DataFrame) -> dict[str, DataFrame]:
     """Result sets of the before/after report by dataset name."""
-    cohort = stage(impact.cohort_of(old, new), "impact-cohort")
+    cohort = stage(impact.cohort_of(*impact.reported(old, new)), "impact-cohort")
     moved = impact.transitioned(cohort)
     detail = impact.transition_detail(moved)
     return {
