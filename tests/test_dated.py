@@ -1,6 +1,7 @@
 """Rows that both status rules share, beside the rows that each rule joins for itself."""
 
 import datetime as dt
+import re
 
 import pytest
 from conftest import DAY, rows
@@ -73,6 +74,31 @@ def test_sums_by_material_are_read_not_made_twice(spark):
     assert "priced-materials" in text and rows(price) == [("12", "P1", 8.0)]
 
 
+def test_parts_of_the_joins_grow_with_the_catalogue(spark, monkeypatch):
+    """Spark dealt the rows over as many parts as the session names, however many they are."""
+    t, net = odd_tables(spark), material_network()
+    want = rows(runs.dated_universe(t, PARAMS, net))
+    parts, old = t["catalogue"].count(), spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(universe.policy, "FEW_ROWS", 0)
+    monkeypatch.setattr(universe.policy, "ROWS_PER_PART", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        dated = runs.dated_universe(t, PARAMS, net)
+        text = dated._jdf.queryExecution().executedPlan().toString()
+        assert parts > 2 and len(re.findall(rf", {parts}\), REPARTITION_BY_NUM", text)) >= 4
+        assert [str(r) for r in rows(dated)] == [str(r) for r in want]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_date_lists_are_made_in_one_pass(spark):
+    """Receipts were made distinct before their lists were, which are sets themselves."""
+    dated = runs.dated_universe(odd_tables(spark), PARAMS, material_network())
+    text = dated._jdf.queryExecution().optimizedPlan().toString()
+    lists = [k for k in re.findall(r"(?m)^.*collect_set.*$\n(.*)$", text)]
+    assert len(lists) == 2 and not any("Aggregate" in below for below in lists)
+
+
 def test_stock_of_carried_lists_moves_no_wide_row(spark):
     """safety_stock shuffled the wide rows by item and again by plant and item."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

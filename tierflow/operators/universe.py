@@ -143,13 +143,15 @@ def universe_material(
     With ``all_dates`` the rows serve every status rule: they carry their own and cross receipt
     dates as lists, which ``with_receipts`` unfolds, and no receipt, status or tier yet. Each
     joined table is made distinct on what the rows take from it, so active rows are distinct as
-    they are, and no joined wide row is grouped.
+    they are, and no joined wide row is grouped. They lie in as many parts as
+    the catalogue's size asks for, so a task's rows do not grow with the input.
     """
     t = tables
     place = ["item", "dc"]
     catalogue = t["catalogue"]
     if active_only:
         catalogue = catalogue.filter(material_active() & material_kept(net))
+    parts = _place_parts(t["catalogue"]) if all_dates else None
     own_plants = t["plant_ext"].filter(F.col("business_id") == net.network)
     base = (
         catalogue.select(
@@ -164,7 +166,7 @@ def universe_material(
         .where("item is not null")
         .join(own_plants.select(F.col("network_plant_id").alias("dc")), "dc", "left_semi")
         .join(t["plant"].select(F.col("plant_id").alias("dc")), "dc", "left_semi")
-        .repartition(*place)
+        .transform(_placed, place, parts)
         .distinct()
     )
     units = t["item_master"].select(F.col("dmdunit").alias("item"), "uom")
@@ -184,14 +186,17 @@ def universe_material(
         listed = listed.join(item_list, "item", "left")
     if all_dates:
         listed = listed.withColumn("superseded_sku", F.coalesce("superseded_sku", F.lit("not superseded")))
-    own_receipts = _own_receipts(listed, t["vendor_receipts"])
+    if parts:
+        listed = _placed(listed, place, parts)
+    own_receipts = _own_receipts(listed, t["vendor_receipts"], unique=not all_dates)
     extract = t["extract"].select(
         "item", F.col("loc").alias("dc"), "udc_pir_cost", "udc_velocity_code"
     )
     if all_dates:
+        # the lists hold a date once, so equal rows need not go first
         own_receipts = _date_list(own_receipts, "own_receipt_date", policy.OWN_DATES)
         cost = F.coalesce("udc_pir_cost", F.lit(0.0)).alias("udc_pir_cost")
-        extract = extract.select(*place, cost, "udc_velocity_code").repartition(*place).distinct()
+        extract = _placed(extract.select(*place, cost, "udc_velocity_code"), place, parts).distinct()
     prices = dims.unit_price_avg(
         t["order_lines"],
         t["order_headers"],
@@ -222,11 +227,12 @@ def universe_material(
                 F.col("plant_id").alias("dc"),
                 "cross_receipt_date",
             )
-            .repartition(*place)
-            .distinct()
+            .transform(_placed, place, parts)
         )
         if all_dates:
             cross = _date_list(cross, "cross_receipt_date", policy.CROSS_DATES)
+        else:
+            cross = cross.distinct()
         rows = rows.join(cross, place, "left")
     else:
         rows = rows.withColumn("cross_receipt_date", F.lit(None).cast("date"))
@@ -265,6 +271,23 @@ def universe_material(
     return rows if active_only else rows.distinct()
 
 
+def _place_parts(catalogue: DataFrame) -> int | None:
+    """Number of parts that keeps one below ``policy.ROWS_PER_PART`` rows; None where few rows leave it to Spark.
+
+    Spark sizes the parts by compressed bytes, or deals any input over a fixed number, while the
+    joins by place sort ten tables in one task; so the memory of that task grew with the input.
+    """
+    rows = catalogue.count()
+    if rows <= policy.FEW_ROWS:
+        return None
+    default = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(default, -(-rows // policy.ROWS_PER_PART))
+
+
+def _placed(df: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
+
+
 def _date_list(rows: DataFrame, date: str, name: str) -> DataFrame:
     """One row per other columns with the sorted list of their dates, null being a date and the first."""
     others = [c for c in rows.columns if c != date]
@@ -290,7 +313,7 @@ def with_receipts(rows: DataFrame, params: TierParams, net: NetworkPolicy) -> Da
     ).select(*kept)
 
 
-def _own_receipts(listed: DataFrame, receipts: DataFrame) -> DataFrame:
+def _own_receipts(listed: DataFrame, receipts: DataFrame, unique: bool = True) -> DataFrame:
     """Listed (item, dc) rows with each of their vendors' receipt dates, null without any.
 
     The item is cut from the material, so rows of one material and plant share their (item, dc)
@@ -306,8 +329,8 @@ def _own_receipts(listed: DataFrame, receipts: DataFrame) -> DataFrame:
     same = (F.col("item") == zero_trim("r_material")) & (F.col("dc") == F.col("r_dc"))
     for k in ("material", "vendor"):
         same = same & (F.col(k) <= F.col(f"r_{k}")) & (F.col(k) >= F.col(f"r_{k}"))
-    rows = listed.join(dated, same, "left")
-    return rows.drop("material", "vendor", "r_dc", "r_material", "r_vendor").distinct()
+    rows = listed.join(dated, same, "left").drop("material", "vendor", "r_dc", "r_material", "r_vendor")
+    return rows.distinct() if unique else rows
 
 
 def _status(params: TierParams, net: NetworkPolicy) -> Column:
