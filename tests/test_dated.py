@@ -7,9 +7,10 @@ import pytest
 from conftest import DAY, rows
 from test_universe import EARLY, PARAMS, catalogue_row, material_tables
 
-from tierflow.operators import dims, impact, universe
-from tierflow.plans import registered, runs
+from tierflow.operators import classify, dims, impact, stock, universe
+from tierflow.plans import policy, registered, runs
 from tierflow.plans.params import material_network
+from tierflow.sources.registry import stage
 
 SF = "/root/testdata/sf0.001"
 LATE = dt.date(1999, 6, 1)
@@ -119,3 +120,17 @@ def test_the_merge_moves_only_what_the_report_reads(spark):
     before, after = (registered.analysis_of(spark, SF, w) for w in ("before", "after"))
     whole = impact.cohort_of(before, after).select(*cohort.columns)
     assert rows(cohort) == rows(whole) and whole.count() > 0
+
+
+def test_carried_lists_give_the_rows_of_the_lookups(spark):
+    t, net = odd_tables(spark), material_network()
+    carried = universe.with_receipts(stage(runs.dated_universe(t, PARAMS, net), "dated"), PARAMS, net)
+    orders = dims.soq_first_weeks(t["soq"], PARAMS.fiscal_year, PARAMS.projection_weeks)
+
+    def stocked(base):
+        covered = stock.sscov(classify.classify(base, PARAMS), t["item_master"], net.high_cube_categories)
+        return stock.safety_stock(covered, t["plant"], orders)
+
+    got, want = stocked(carried), stocked(carried.drop(*policy.CARRIED_LISTS))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert [str(r) for r in rows(got.select(*want.columns))] == [str(r) for r in rows(want)] and want.count() > 4
