@@ -1,0 +1,170 @@
+"""The usn network's run, whose wide rows are shuffled once, beside plain joins on odd rows."""
+
+import re
+
+import pytest
+from conftest import DAY, rows
+from pyspark.sql import functions as F
+from test_universe import EARLY, PARAMS, RECENT
+from test_universe import usn_tables as plain_tables
+
+from tierflow.functions import div0null
+from tierflow.operators import classify, dims, stock, universe
+from tierflow.plans import driver_tables, registered, runs
+from tierflow.plans.driver_tables import USN, usn_tables
+from tierflow.plans.params import usn_network
+from tierflow.sources.registry import stage
+
+SF = "/root/testdata/sf0.001"
+NET = usn_network(item_overrides=(("77", "Fixed", "c"), ("78", "Lost", "a")))
+
+
+def odd_tables(spark):
+    """Keys that repeat or are null, warehouses of two locations, two skus of a usn, overridden items."""
+    t = plain_tables(spark)
+    more = {
+        "assortment": [("1", "a", "A", "Replenished"), ("1", "a", "other", "replenished"), (None, "a", "A", "replenished"),
+                       ("1", None, "A", "replenished"), ("5", "a", None, "replenished"), ("5", "c", "C", "replenished"), ("6", "a", "A", "replenished")],
+        "inventory_master": [("a", "5"), ("c", "5"), ("c", "1"), (None, "1"), ("a", None), ("a", "6"), ("c", "5")],
+        "dim_warehouse": [("5", 5), ("5", 15), ("6", 1), (None, 1)],
+        "warehouse": [(5, 1), (15, 1), (5, 1), (None, 1)],
+        "open_warehouse": [(5, "5", "East", True), (15, "5", None, True)],
+        "plant_names": [("H_5_", "L5"), ("H_5_", "L6"), ("H_5_", "L6"), ("H_6_", None)],
+        "sales": [(13, 5, 8.0, 2.0, DAY), (13, 15, 9.0, 2.0, DAY), (10, 5, 1.0, 1.0, DAY), (10, 1, 1.0, None, DAY), (99, 5, 1.0, 1.0, DAY), (10, None, 1.0, 1.0, DAY)],
+        "usn_receipts": [("a", "1", RECENT), ("a", "1", EARLY), ("c", "5", None), (None, "5", EARLY), ("c", "1", EARLY)],
+        "instock_weekly": [("x", 11, "5", "W", "N2", 1.0, 4.0), ("x", 13, "5", "W", "N2", None, 2.0), ("x", 10, None, "W", "N2", 1.0, 2.0)],
+        "extract": [("12", "L1", "CS", "B", 2.0), ("77", "L5", "CS", "A", 1.0), ("78", "L5", None, "D", 5.0), ("13", "L6", "EA", None, None), ("13", "L5", "EA", "E", 2.0),
+                    (None, "L5", "EA", "E", 2.0), ("13", None, "EA", "E", 2.0), ("13", "L9", "EA", "E", 2.0)],
+        "supersession": [("13", None), ("13", "5"), ("77", "1"), (None, "2")],
+    }
+    t = {n: df.unionByName(spark.createDataFrame(more[n], df.schema)) if n in more else df for n, df in t.items()}
+    new = {
+        "item_master": (
+            "dmdunit string, uom string, udc_merch_cat_descr string, udc_usn_number string, udc_product_cat_descr string, udc_import_type string, udc_pir_cost double",
+            [("12", None, "M", "a", "Foil", "1", 1.0), ("12", "EA", "M", "a", "x", "2", 3.0), ("13", "EA", "M", "a", "Foil", None, 2.0),
+             ("13", "EA", "N", "c", None, "1", 2.0), ("77", "EA", "M", "a", "Foil", "1", 2.0), ("14", "EA", "M", None, "Foil", "1", 2.0), (None, "EA", "M", "a", "Foil", "1", 2.0)],
+        ),
+        "forecast": (
+            "skuloc string, item string, startdate date, qty double",
+            [("L1", "12", DAY, 5.0), ("L1", "12", DAY, 8.0), ("L5", "13", DAY, None), ("L5", "77", DAY, 2.0), ("L5", "78", DAY, 9.0), ("L6", "13", DAY, 1.0),
+             ("L9", "13", DAY, 1.0), (None, "13", DAY, 1.0), ("L5", None, DAY, 1.0)],
+        ),
+        "plant": ("plant_id string, network_plant_id string, business_id string", [("1", "L1", "N2"), ("5", "L5", "N2"), ("5", "L6", "N2"), ("6", "L9", "N2"), (None, "L5", "N2")]),
+        "soq": (
+            "plant string, item string, orderplace_fy string, orderplace_fw string, soq double",
+            [("L1", "12", "FY2000", "FW01", 4.0), ("L5", "13", "FY2000", "FW02", None), ("L6", "13", "FY2000", "FW02", 3.0), ("L5", "77", "FY2000", "FW02", 1.0),
+             ("L5", None, "FY2000", "FW02", 1.0), (None, "13", "FY2000", "FW02", 1.0), ("L5", "78", "FY2000", "FW01", 6.0)],
+        ),
+    }
+    return t | {n: spark.createDataFrame(data, schema) for n, (schema, data) in new.items()}
+
+
+def plain_universe(t, params, net):
+    """Each table joined in turn, on its own keys."""
+    skus = t["sku"].join(t["taxonomy"], "taxonomy_id", "left_semi").select("usn", "sku_id")
+    prices = dims.unit_price_ratio(t["sales"], t["sku"], params.as_of).select("usn", F.col("shipping_warehouse_id").alias("warehouse_id"), "unit_price")
+    receipts = t["usn_receipts"].select("usn", F.col("warehouse_num").alias("warehouse_number"), F.col("first_receive_date").alias("receipt_date"))
+    stocked = dims.instock_8w(t["instock_weekly"], t["calendar"], net.network, "sku_id", params.as_of)
+    items = dims.item_location(t["extract"], t["item_master"], t["supersession"], net.item_overrides).withColumnsRenamed({"loc": "location", "category": "mcat"})
+    joined = (
+        t["assortment"].join(t["inventory_master"], ["usn", "warehouse_number"], "left_semi")
+        .join(universe.usn_warehouses(t, params, net), "warehouse_number").join(skus, "usn").join(prices, ["usn", "warehouse_id"], "left")
+        .join(receipts, ["usn", "warehouse_number"], "left").join(stocked.drop("instock_rate"), ["sku_id", "warehouse_number"], "left").join(items, ["usn", "location"], "left")
+    )
+    no_text = F.lit(None).cast("string")
+    return joined.withColumns(
+        {
+            "network": F.lit(net.network), "dc": F.col("warehouse_number"), "sku": F.col("usn"), "material_id": no_text, "material_number": no_text,
+            "sku_description": F.col("item_description"), "superseded_sku": universe.superseded_flag("altitem"),
+            "sku_status": universe.sku_status("receipt_date", net.status_mode, params.as_of), "retail_price": F.col("unit_price"),
+            "cogs": F.coalesce("udc_pir_cost", F.lit(0.0)), "instock_rate": div0null("instock_numerator", "instock_denominator"),
+            "system_velocity": F.col("udc_velocity_code"), "proposed_velocity": universe.default_tier("receipt_date", net.status_mode, params.as_of),
+            "is_vmi": universe.is_vmi(net.vendor_managed_regions), "is_active": universe.is_active(universe.usn_active()),
+            "is_filtered_out": universe.is_filtered_out(universe.usn_kept(net)), "first_receipt_flg": universe.first_receipt_flag("receipt_date"),
+        }
+    ).select(*universe.UNIVERSE_COLUMNS).distinct()
+
+
+def texts(df):
+    return [str(r) for r in rows(df)]
+
+
+def plain_base(t, plain):
+    forecast = dims.forecast_window(t["forecast"], t["plant"], NET.network, PARAMS.as_of)
+    return classify.attach_forecast(plain, forecast, t["plant"])
+
+
+def test_rows_are_those_of_plain_joins(spark):
+    t = odd_tables(spark)
+    plain = stage(plain_universe(t, PARAMS, NET), "plain")
+    want = texts(plain)
+    assert texts(universe.universe_usn(t, PARAMS, NET)) == want and len(want) > 20
+    base = plain_base(t, plain)
+    want = rows(base.select("item", "is_forecasted", *base.columns))
+    got = runs.active_universe(t, PARAMS, NET, "usn").select("item", "is_forecasted", *base.columns)
+    assert texts(got) == [str(r) for r in want]
+    assert {("78", "Forecasted"), ("77", "Forecasted"), (None, "Not Forecasted")} <= {r[:2] for r in want}
+
+
+def test_carried_lists_give_the_rows_of_the_lookups(spark, monkeypatch):
+    """The lookups' own joins beside the lists, in parts by size."""
+    monkeypatch.setattr(universe.policy, "FEW_ROWS", 0)
+    t = odd_tables(spark)
+    orders = dims.soq_first_weeks(t["soq"], PARAMS.fiscal_year, PARAMS.projection_weeks)
+
+    def stocked(base):
+        covered = stock.sscov(classify.classify(stage(base, "base"), PARAMS), t["item_master"], NET.high_cube_categories)
+        return stock.safety_stock(covered, t["plant"], orders)
+
+    plain = stocked(plain_base(t, plain_universe(t, PARAMS, NET)))
+    carried = runs.active_universe(t, PARAMS, NET, "usn", *runs.stock_lists(t, PARAMS, NET))
+    want = rows(plain)
+    assert texts(stocked(carried).select(*plain.columns)) == [str(r) for r in want]
+    at = plain.columns.index("current_total_soq_13_weeks")
+    assert {r[at] for r in want} >= {0.0, 1.0, 3.0, 4.0, 6.0}
+
+
+def test_usns_of_items_are_those_of_their_locations(spark):
+    t = odd_tables(spark)
+    at = dims.item_location(t["extract"], t["item_master"], t["supersession"], NET.item_overrides)
+    want = at.select("item", "usn").where("item is not null and usn is not null").distinct()
+    got = dims.item_usns(t["item_master"], NET.item_overrides)
+    assert got.count() == got.distinct().count() and not want.exceptAll(got).count()
+    assert ("78", "a") in rows(got) and ("77", "a") not in rows(got)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def shuffles_above(text, leaf):
+    """Exchanges between the root of a plan and its first line that fits ``leaf``."""
+    lines = text.splitlines()
+    depth = [len(re.match(r"[\s:|+\-*()\d]*", s).group()) for s in lines]
+    i = next(k for k, s in enumerate(lines) if re.search(leaf, s))
+    found, at = [], depth[i]
+    for k in range(i, -1, -1):
+        if depth[k] < at:
+            at = depth[k]
+            if re.search(r"[-+ ]Exchange ", lines[k]):
+                found.append(lines[k].strip())
+    return found
+
+
+def test_wide_rows_are_shuffled_once(spark, no_broadcast):
+    """Each lookup moved the joined rows by its own keys."""
+    t = usn_tables(spark, SF)
+    df = runs.active_universe(t, driver_tables.PARAMS, USN, "usn", *runs.stock_lists(t, driver_tables.PARAMS, USN))
+    moved = shuffles_above(df._jdf.queryExecution().executedPlan().toString(), r"FileScan parquet .*ipr_category")
+    # the join on the plant, whose few rows are broadcast under the usual limit, is by dc
+    assert [s for s in moved if "hashpartitioning(dc#" not in s and "hashpartitioning(usn#" not in s] == []
+    assert len([s for s in moved if "hashpartitioning(usn#" in s]) == 1
+
+
+def test_analysis_shuffles_no_rows_for_the_stock_lookups(spark, no_broadcast):
+    text = registered.run_of(spark, SF, "usn")._jdf.queryExecution().executedPlan().toString()
+    assert "null_spread" not in text and "hashpartitioning(soq_plant" not in text

@@ -54,7 +54,8 @@ def attach_forecast(
     out where the universe always has a location and an item. The join then needs
     no care for null keys, and the distinct shares its shuffle. ``location`` may then name a
     column of equal values by which the rows lie already. Lists that the universe
-    carries for the stock operators are kept. ``unique`` says that the rows and the forecast's
+    carries for the stock operators are kept; a universe that carries its rows' forecast has it
+    there and needs no join. ``unique`` says that the rows and the forecast's
     keys are distinct already; no row is grouped then.
     """
     lists = [c for c in policy.CARRIED_LISTS if c in universe.columns]
@@ -71,7 +72,11 @@ def attach_forecast(
         rows = rows.join(fallback, "dc", "left").withColumn(
             "location", F.coalesce("location", "plant_location")
         )
-        rows = lookup_join(rows, [matched], ("location", "item"))
+        if policy.CARRIED_FORECAST in universe.columns:
+            own = F.col(policy.CARRIED_FORECAST)
+            rows = rows.select("*", own["total_forecasted_qty"].alias("total_forecasted_qty"), own.isNotNull().alias("has_forecast"))
+        else:
+            rows = lookup_join(rows, [matched], ("location", "item"))
     rows = (
         rows.withColumn(
             "is_forecasted",

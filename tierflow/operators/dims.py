@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.functions import div0, exact_sums, next_weekday, previous_weekday, zero_trim
@@ -138,10 +138,9 @@ def item_location(
     master = item_master.select(
         F.col("dmdunit").alias("item"), "uom", "udc_merch_cat_descr", "udc_usn_number"
     )
-    category, usn = F.col("udc_merch_cat_descr"), F.col("udc_usn_number")
-    for item, fixed_category, fixed_usn in overrides:
+    category, usn = F.col("udc_merch_cat_descr"), _usn(overrides)
+    for item, fixed_category, _ in overrides:
         category = F.when(F.col("item") == item, F.lit(fixed_category)).otherwise(category)
-        usn = F.when(F.col("item") == item, F.lit(fixed_usn)).otherwise(usn)
     return (
         extract.join(master, "item", "left")
         .join(supersession.select("item", "altitem"), "item", "left")
@@ -158,6 +157,26 @@ def item_location(
     )
 
 
+def _usn(overrides: tuple[tuple[str, str, str], ...]) -> Column:
+    usn = F.col("udc_usn_number")
+    for item, _, fixed_usn in overrides:
+        usn = F.when(F.col("item") == item, F.lit(fixed_usn)).otherwise(usn)
+    return usn
+
+
+def item_usns(
+    item_master: DataFrame, overrides: tuple[tuple[str, str, str], ...] = policy.ITEM_OVERRIDES
+) -> DataFrame:
+    """Distinct usns of each item, as ``item_location`` has them."""
+    known = item_master.select(F.col("dmdunit").alias("item"), "udc_usn_number")
+    types = dict(known.dtypes)
+    # an override holds for items that the master lacks, too
+    for item, _, _ in overrides:
+        row = [F.lit(item).cast(types["item"]).alias("item"), F.lit(None).cast(types["udc_usn_number"]).alias("udc_usn_number")]
+        known = known.unionByName(known.sparkSession.range(1).select(*row))
+    return known.select("item", _usn(overrides).alias("usn")).where("item is not null and usn is not null").distinct()
+
+
 def instock_8w(
     weekly: DataFrame,
     calendar: DataFrame,

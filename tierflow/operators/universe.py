@@ -13,6 +13,7 @@ from tierflow.operators import dims
 from tierflow.operators.joins import few_valued_join, lookup_join
 from tierflow.plans import policy
 from tierflow.plans.params import NetworkPolicy, TierParams
+from tierflow.sources.registry import stage
 
 UNIVERSE_COLUMNS = (
     "network",
@@ -391,67 +392,85 @@ def universe_usn(
     params: TierParams,
     net: NetworkPolicy,
     active_only: bool = False,
+    item_list: DataFrame | None = None,
+    place_list: DataFrame | None = None,
+    forecast: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct assortment rows of the network with status, cost, price, stock and tier.
 
     All that depends on the warehouse alone is joined there (`usn_warehouses`), so the
-    assortment meets one table of warehouses. ``active_only`` is as in the material network.
+    assortment meets one table of warehouses. The wide assortment rows are shuffled once, by
+    usn: copies go there, all joins are on the usn, and the final distinct shares it. A usn has
+    few rows, one per warehouse and copy of its sku, so the warehouse is compared inside the
+    joins; and as a usn's rows lie together, its texts shrink in the shuffles. Items, which
+    the system rows know, are joined to these by item first. ``active_only`` and the lists are
+    as in the material network; ``forecast`` has one row per (location, item), and the rows carry
+    it for the forecast attach.
     """
     t = tables
-    assortment = (
-        t["assortment"]
-        .select("warehouse_number", "usn", "item_description", "ipr_category")
-        .distinct()
-    )
+    parts = _place_parts(t["assortment"])
+
+    def placed(df: DataFrame) -> DataFrame:
+        return _placed(df.where("usn is not null"), ["usn"], parts)
+
     warehouses = usn_warehouses(t, params, net)
     if active_only:
         warehouses = warehouses.filter(usn_kept(net))
+    # a few rows per warehouse, always small enough to broadcast
+    warehouses = F.broadcast(stage(warehouses, "usn-warehouses"))
+    here = F.broadcast(warehouses.select("warehouse_number").distinct())
+    ids = F.broadcast(warehouses.select(F.col("warehouse_id").alias("shipping_warehouse_id")).distinct())
+    located = F.broadcast(warehouses.select(F.col("location").alias("loc")).distinct())
+    assortment = placed(
+        t["assortment"].select("warehouse_number", "usn", "item_description", "ipr_category")
+    ).distinct()
     skus = (
         t["sku"]
         .join(t["taxonomy"].select("taxonomy_id"), "taxonomy_id", "left_semi")
         .select("usn", "sku_id")
     )
-    rows = (
-        assortment.join(
-            t["inventory_master"].select("usn", "warehouse_number"),
-            ["usn", "warehouse_number"],
-            "left_semi",
-        )
-        .join(warehouses, "warehouse_number")
-        .join(skus, "usn")
-    )
+    inventory = t["inventory_master"].select("usn", "warehouse_number").join(here, "warehouse_number", "left_semi")
+    rows = _at_usn(assortment.join(warehouses, "warehouse_number"), placed(inventory), "left_semi", "warehouse_number")
+    rows = _at_usn(rows, placed(skus), "inner")
     if active_only:
         rows = rows.filter(usn_active())
 
+    receipts = (
+        t["usn_receipts"]
+        .select("usn", F.col("warehouse_num").alias("warehouse_number"), F.col("first_receive_date").alias("receipt_date"))
+        .join(here, "warehouse_number", "left_semi")
+    )
     prices = dims.unit_price_ratio(
-        t["sales"], t["sku"], params.as_of, params.sales_price_days
+        t["sales"].join(ids, "shipping_warehouse_id", "left_semi"), t["sku"], params.as_of, params.sales_price_days
     ).select("usn", F.col("shipping_warehouse_id").alias("warehouse_id"), "unit_price")
-    receipts = t["usn_receipts"].select(
-        "usn",
-        F.col("warehouse_num").alias("warehouse_number"),
-        F.col("first_receive_date").alias("receipt_date"),
-    )
     stock = dims.instock_8w(
         t["instock_weekly"], t["calendar"], net.network, "sku_id", params.as_of, params.snapshot_weeks
-    )
-    items = dims.item_location(
-        t["extract"], t["item_master"], t["supersession"], net.item_overrides
-    ).select(
+    ).drop("instock_rate")
+    extract = t["extract"].where("item is not null").join(located, "loc", "left_semi")
+    items = dims.item_location(extract, t["item_master"], t["supersession"], net.item_overrides).select(
         "usn",
         F.col("loc").alias("location"),
         "item",
         F.col("category").alias("mcat"),
         "uom",
-        superseded_flag("altitem").alias("alternate"),
+        F.col("altitem").isNotNull().alias("has_alternate"),
         "udc_pir_cost",
         "udc_velocity_code",
     )
-    rows = (
-        rows.join(prices, ["usn", "warehouse_id"], "left")
-        .join(receipts, ["usn", "warehouse_number"], "left")
-        .join(stock.drop("instock_rate"), ["sku_id", "warehouse_number"], "left")
-        .join(items, ["usn", "location"], "left")
-    )
+    if item_list is not None:
+        items = items.join(item_list, "item", "left")
+    rows = _at_usn(rows, placed(receipts), "left", "warehouse_number")
+    rows = _at_usn(rows, placed(prices), "left", "warehouse_id")
+    rows = _at_usn(rows, placed(stock.join(skus.distinct(), "sku_id")), "left", "sku_id", "warehouse_number")
+    rows = _at_usn(rows, placed(items), "left", "location")
+    usns = dims.item_usns(t["item_master"], net.item_overrides)
+    if place_list is not None:
+        orders = place_list.withColumnRenamed("dc", "warehouse_number").join(here, "warehouse_number", "left_semi")
+        rows = _at_usn(rows, placed(orders.join(usns, "item")), "left", "item", "warehouse_number")
+    if forecast is not None:
+        sums = forecast.select("item", "location", F.struct("total_forecasted_qty").alias(policy.CARRIED_FORECAST))
+        rows = _at_usn(rows, placed(sums.join(usns, "item")), "left", "item", "location")
+    carried = [c for c in (*policy.CARRIED_LISTS, policy.CARRIED_FORECAST) if c in rows.columns]
     no_text = F.lit(None).cast("string")
     rows = rows.withColumns(
         {
@@ -461,7 +480,7 @@ def universe_usn(
             "material_id": no_text,
             "material_number": no_text,
             "sku_description": F.col("item_description"),
-            "superseded_sku": F.coalesce("alternate", F.lit("not superseded")),
+            "superseded_sku": F.when(F.col("has_alternate"), "superseded").otherwise("not superseded"),
             "sku_status": _status(params, net),
             "retail_price": F.col("unit_price"),
             "cogs": F.coalesce("udc_pir_cost", F.lit(0.0)),
@@ -475,10 +494,22 @@ def universe_usn(
             "is_filtered_out": is_filtered_out(usn_kept(net)),
             "first_receipt_flg": first_receipt_flag("receipt_date"),
         }
-    ).select(*UNIVERSE_COLUMNS)
+    ).select(*UNIVERSE_COLUMNS, *carried)
     return rows if active_only else rows.distinct()
 
 
+def _at_usn(rows: DataFrame, lookup: DataFrame, how: str, *same: str) -> DataFrame:
+    """Join by the usn, by which both sides lie, and by the columns ``same``.
+
+    These are compared by two inequalities each, for an equality would become part of the placing.
+    """
+    right = lookup.withColumnsRenamed({c: f"r_{c}" for c in ("usn", *same)})
+    on = F.col("usn") == F.col("r_usn")
+    for c in same:
+        on = on & (F.col(c) <= F.col(f"r_{c}")) & (F.col(c) >= F.col(f"r_{c}"))
+    return rows.join(right, on, how).drop(*[f"r_{c}" for c in ("usn", *same)])
+
+
 # ---- lookups that no result column comes from ------------------------------------------------
 
 

@@ -157,6 +157,8 @@ TRANSITIONS = (STAYED, TO_RANKED, TO_NEW_UNFORECASTED, TO_IDLE, DROPPED, OTHER_T
 FLAG_LIST, ORDER_LIST = "__item_flags", "__orders"
 OWN_DATES, CROSS_DATES = "__own_dates", "__cross_dates"
 CARRIED_LISTS = (FLAG_LIST, ORDER_LIST, OWN_DATES, CROSS_DATES)
+# the forecast of a row's location and item, which the usn universe may carry for the forecast attach
+CARRIED_FORECAST = "__forecast"
 
 #: Catalogue rows of one part of the joins by item and dc, and the size up to which Spark chooses the parts.
 ROWS_PER_PART, FEW_ROWS = 100_000, 1_000_000

@@ -26,7 +26,7 @@ def active_universe(
 ) -> DataFrame:
     """Active rows of the network with their forecast: the input of the tiering.
 
-    In the material network they may carry lists, see ``universe_material``.
+    They may carry lists, see ``universe_material``.
     """
     forecast = dims.forecast_window(
         tables["forecast"], tables["plant"], net.network, params.as_of, params.forecast_weeks
@@ -36,7 +36,7 @@ def active_universe(
         universe = universe_material(tables, params, net, True, item_list, place_list)
         return attach_forecast(universe, forecast, location="dc")
     if kind == "usn":
-        universe = universe_usn(tables, params, net, active_only=True)
+        universe = universe_usn(tables, params, net, True, item_list, place_list, forecast)
         return attach_forecast(universe, forecast, tables["plant"])
     raise ValueError(f"kind {kind!r} is not 'material' or 'usn'")
 
@@ -52,13 +52,19 @@ def dated_universe(
     forecast = dims.forecast_window(
         tables["forecast"], tables["plant"], net.network, params.as_of, params.forecast_weeks
     )
+    universe = universe_material(tables, params, net, True, *stock_lists(tables, params, net), all_dates=True)
+    return attach_forecast(universe, forecast, location="dc", unique=True)
+
+
+def stock_lists(
+    tables: Mapping[str, DataFrame], params: TierParams, net: NetworkPolicy
+) -> tuple[DataFrame, DataFrame]:
+    """The lookups of the stock operators as lists: by item, and by item and dc."""
     projections = dims.soq_first_weeks(tables["soq"], params.fiscal_year, params.projection_weeks)
-    lists = (
+    return (
         stock.flags_by_item(tables["item_master"], net.high_cube_categories),
         stock.orders_by_place(tables["plant"], projections),
     )
-    universe = universe_material(tables, params, net, True, *lists, all_dates=True)
-    return attach_forecast(universe, forecast, location="dc", unique=True)
 
 
 def reclassify(
@@ -73,9 +79,8 @@ def reclassify(
     The active universe has several readers (rank counts, ranked rows and the
     two unranked groups) and is staged as a table where the cluster names a folder.
     ``dated`` is a staged ``dated_universe`` of the material network that other runs read as well.
-    In the material network it carries the lookups of the stock operators as lists, as
-    its rows lie by item and dc there; unfolded after the ranking, they give the rows that
-    the lookups would, and the wide rows are not shuffled again.
+    It carries the lookups of the stock operators as lists; unfolded after the ranking, they
+    give the rows that the lookups would, and the wide rows are not shuffled again.
     """
     projections = dims.soq_first_weeks(
         tables["soq"], params.fiscal_year, params.projection_weeks
@@ -85,7 +90,8 @@ def reclassify(
             dated = stage(dated_universe(tables, params, net), "dated-universe")
         base = with_receipts(dated, params, net)
     else:
-        base = stage(active_universe(tables, params, net, kind), "active-universe")
+        lists = stock_lists(tables, params, net)
+        base = stage(active_universe(tables, params, net, kind, *lists), "active-universe")
     tiers = classify(base, params)
     covered = stock.sscov(tiers, tables["item_master"], net.high_cube_categories)
     stocked = stock.safety_stock(covered, tables["plant"], projections)
